@@ -80,3 +80,13 @@ def bucket_of(column: str, modulus: int):
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Stands for a null doc_id where ids are compared: an id below all others.
+NO_ID = -(2**63)
+
+
+def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with `_id`, `_row` and `_text`: rows that agree in `_id` and `_row` have equal ids and texts."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select("*", F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.xxhash64(whole).alias("_row"), whole.alias("_text"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat_format, packing, token_count
+from causeway.llm import arc_to_warc, chat_format, decontaminate, line_dedup, packing, token_count
 
 
 def queries():
     return {
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op6_token_count": token_count.op6_token_count,
+        "op8_warc": arc_to_warc.op8_warc,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_chat_format": chat_format.op10_chat_format,
     }
@@ -15,5 +18,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_line_dedup": line_dedup.SQL_OP4,
+        "op5_decontamination": decontaminate.SQL_OP5,
+        "op8_warc": arc_to_warc.SQL_OP8,
         "op10_chat_format": chat_format.SQL_OP10,
     }
