@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import arc_to_warc, chat_format, decontaminate, line_dedup, packing, token_count
+from causeway.llm import arc_to_warc, chat_format, decontaminate, line_dedup, packing, syncmers, token_count
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_token_count": token_count.op6_token_count,
+        "op7_fingerprints": syncmers.op7_fingerprints,
         "op8_warc": arc_to_warc.op8_warc,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_chat_format": chat_format.op10_chat_format,
