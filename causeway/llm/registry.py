@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from causeway.llm import arc_to_warc, chat_format, decontaminate, line_dedup, packing, simhash, syncmers, token_count, toxicity
+from causeway.llm import arc_to_warc, chat_format, decontaminate, language_model, line_dedup, packing, simhash, syncmers, token_count, toxicity
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_language_model": language_model.op2_language_model,
         "op3_simhash": simhash.op3_simhash,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,

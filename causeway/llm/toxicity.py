@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from causeway.llm.common import bucket_of, map_batches, stored, table
 
@@ -299,7 +300,7 @@ def _scored(model: Model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs (with a column text) and `_score`."""
-    schema = docs.schema.add("_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     return map_batches(docs, _scored(model), schema)
 
 
