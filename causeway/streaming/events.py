@@ -73,7 +73,7 @@ def notifications(labels: DataFrame, rules: EventRules = EventRules()) -> DataFr
     """Batch fold of (label, session, present); of repeated sessions, present wins. A group is one label's calendar."""
     once = labels.groupBy("label", "session").agg(F.bool_or("present").alias("present"))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _run(Machine(), key[0], pdf.sort_values("session"), rules)
 
     return once.groupBy("label").applyInPandas(fold, NOTES)
@@ -101,7 +101,7 @@ def confirmation_cost(labels: DataFrame, rules: EventRules = EventRules()) -> Da
     """What waiting bought and cost: flickers kept quiet, events opened, and their delay in sessions."""
     quick = EventRules(rules.confirm, rules.release, 0)
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         machine, delays, runs, run, first = Machine(), [], [], 0, None
         for i, (session, present) in enumerate(zip(*(pdf.sort_values("session")[c] for c in ("session", "present")), strict=True)):
             if present and first is None:

@@ -22,11 +22,11 @@ def days(n, start=D(2026, 9, 1)):
 
 
 def series(spark, values, name="x"):
-    return spark.createDataFrame([("a", d, v) for d, v in zip(days(len(values)), values, strict=True)], f"symbol string, session date, {name} double")
+    return spark.createDataFrame([("a", d, float(v)) for d, v in zip(days(len(values)), values, strict=True)], f"symbol string, session date, {name} double")
 
 
 def bars(spark, closes):
-    rows = [("spy", d, 0.99 * c, 1.01 * c, 0.98 * c, c, 1e6, "shares", "ETF") for d, c in zip(days(len(closes)), closes, strict=True)]
+    rows = [("spy", d, 0.99 * c, 1.01 * c, 0.98 * c, float(c), 1e6, "shares", "ETF") for d, c in zip(days(len(closes)), closes, strict=True)]
     return spark.createDataFrame(rows, "symbol string, session date, open double, high double, low double, close double, volume double, volume_unit string, sec_type string")
 
 
