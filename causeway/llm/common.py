@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.session import reachable
+
 #: White space of the text contracts: space and the ASCII controls TAB to CR.
 BLANK = r"[\x20\x09-\x0D]"
 #: The same set for str.split-like work in Python.
@@ -65,6 +67,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    reachable(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 

@@ -42,8 +42,11 @@ TRAIN_ROWS = 20_000
 MAX_INSULTS = 20_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-PREFIXES = range(4, 8)
-EDGE = ".,;:!?\"'()[]{}«»“”‘’¡¿*_-"
+#: Lengths of word beginnings; a beginning is always shorter than its word.
+PREFIXES = range(4, 10)
+#: Share of a beginning's contexts that one word may have; above it the word itself is the feature.
+ONE_WORD = 0.6
+EDGE = ".,;:!?\"'()[]{}«»“”‘’¡¿*_-#$%&@+~^|<>/="
 CLAUSE_END = frozenset(".;:!?")
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "intent", "target", "negation", "report"
@@ -118,7 +121,7 @@ class Lexicon(dict):
     def __missing__(self, word: str):
         bare = word.strip(EDGE)
         found = None
-        weight = max((self.insults.get("=" + bare, 0.0), *(self.insults.get(bare[:n], 0.0) for n in PREFIXES if len(bare) >= n)), default=0.0)
+        weight = max((self.insults.get("=" + bare, 0.0), *(self.insults.get(bare[:n], 0.0) for n in PREFIXES if len(bare) > n)))
         if weight:
             found = INSULT, weight
         elif bare in self.closed:
@@ -186,7 +189,7 @@ def hash_of(s: str) -> int:
 
 
 def word_features(w: str) -> list[str]:
-    return ["=" + w, *(w[:n] for n in PREFIXES if len(w) >= n)]
+    return ["=" + w, *(w[:n] for n in PREFIXES if len(w) > n)]
 
 
 def _occurrences(wanted: frozenset[str]):
@@ -232,9 +235,16 @@ def learned_insults(train: DataFrame) -> dict[str, float]:
         c = others.get(f, 0)
         if n >= 19 * c and _likelihood_ratio(n, c, base) >= needed:
             odds[f] = min(8.0, math.log((n + 0.5) / (c + 0.5)) - math.log(base / (1 - base)))
-    # A beginning stands for all longer features under it.
-    short = {f for f in odds if not f.startswith("=")}
-    kept = {f: w for f, w in odds.items() if not any(f.removeprefix("=")[:n] in short for n in PREFIXES if n < len(f.removeprefix("=")) or n == len(f.removeprefix("=")) and f.startswith("="))}
+    # A beginning that is mostly one word is left to the word; any other stands for all longer features under it.
+    most: dict[str, int] = defaultdict(int)
+    for f, n in contexts.items():
+        if f.startswith("="):
+            for k in PREFIXES:
+                if len(f) - 1 > k:
+                    most[f[1 : k + 1]] = max(most[f[1 : k + 1]], n)
+    short = {f for f in odds if not f.startswith("=") and most[f] <= ONE_WORD * contexts[f]}
+    bare = lambda f: f.removeprefix("=")
+    kept = {f: w for f, w in odds.items() if (f in short or f.startswith("=")) and not any(bare(f)[:k] in short for k in PREFIXES if len(bare(f)) > k)}
     return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_INSULTS])
 
 
