@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +21,12 @@ def session(app: str = "causeway", **more: str) -> SparkSession:
     for k, v in {**SETTINGS, **more}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
