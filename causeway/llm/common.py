@@ -90,6 +90,6 @@ NO_ID = -(2**63)
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `_id`, `_row` and `_text`: rows that agree in `_id` and `_row` have equal ids and texts."""
+    """docs with `_cw_id`, `_cw_row` and `_cw_text`: rows that agree in `_cw_id` and `_cw_row` have equal ids and texts."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.xxhash64(whole).alias("_row"), whole.alias("_text"))
+    return docs.select("*", F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_cw_id"), F.xxhash64(whole).alias("_cw_row"), whole.alias("_cw_text"))

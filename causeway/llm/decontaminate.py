@@ -57,39 +57,39 @@ def _within(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """(_id, _row, h): hashes of the documents' shingles of these widths, each once."""
-    w = docs.select("_id", "_row", words(F.col("_text")).alias("w"))
+    """(_cw_id, _cw_row, h): hashes of the documents' shingles of these widths, each once."""
+    w = docs.select("_cw_id", "_cw_row", words(F.col("_cw_text")).alias("w"))
     parts = [shingle_hashes("w", n) for n in widths]
-    return w.select("_id", "_row", F.explode(parts[0] if len(parts) == 1 else F.concat(*parts)).alias("h"))
+    return w.select("_cw_id", "_cw_row", F.explode(parts[0] if len(parts) == 1 else F.concat(*parts)).alias("h"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = CONTAINMENT) -> DataFrame:
-    """(_id, _row, item_id, n_shingles, n_found) of every document and item it contains to the threshold or more."""
+    """(_cw_id, _cw_row, item_id, n_shingles, n_found) of every document and item it contains to the threshold or more."""
     rows = identified(docs.select(doc_id, text), doc_id, text)
     shingles = stored(item_shingles(items, threshold=threshold), "items")
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect()) or [SHINGLE_WORDS]
     sketches = _within(shingles.where("sketched").select("h", "item", "item_id", "n"))
-    hits = document_shingles(rows, widths).join(sketches, "h").select("_id", "_row", "item", "item_id", "n").distinct()
+    hits = document_shingles(rows, widths).join(sketches, "h").select("_cw_id", "_cw_row", "item", "item_id", "n").distinct()
     candidates = stored(hits, "candidates")
-    documents = _within(candidates.select("_id", "_row").distinct())
-    again = rows.join(documents, ["_id", "_row"], "left_semi")
+    documents = _within(candidates.select("_cw_id", "_cw_row").distinct())
+    again = rows.join(documents, ["_cw_id", "_cw_row"], "left_semi")
     found = document_shingles(again, widths).join(_within(shingles.select("h", "item")), "h").distinct()
-    counted = found.groupBy("_id", "_row", "item").agg(F.count(F.lit(1)).alias("n_found"))
-    verified = counted.join(candidates, ["_id", "_row", "item"])
+    counted = found.groupBy("_cw_id", "_cw_row", "item").agg(F.count(F.lit(1)).alias("n_found"))
+    verified = counted.join(candidates, ["_cw_id", "_cw_row", "item"])
     enough = F.col("n_found") >= F.ceil(threshold * F.col("n") - 1e-9)
-    return verified.where(enough).select("_id", "_row", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_found")
+    return verified.where(enough).select("_cw_id", "_cw_row", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_found")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that contain an item."""
-    hit = stored(contained_items(docs, items, doc_id, text).select("_id", "_row").distinct(), "contaminated")
-    return identified(docs, doc_id, text).join(_within(hit), ["_id", "_row"], "left_anti").select(*docs.columns)
+    hit = stored(contained_items(docs, items, doc_id, text).select("_cw_id", "_cw_row").distinct(), "contaminated")
+    return identified(docs, doc_id, text).join(_within(hit), ["_cw_id", "_cw_row"], "left_anti").select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of document and item; documents that aren't listed contain none."""
     found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"), "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    return found.select(F.when(F.col("_cw_id") != NO_ID, F.col("_cw_id")).alias("doc_id"), "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 SQL_OP5 = f"""

@@ -38,43 +38,43 @@ def line_key(line: Column) -> Column:
 
 
 def line_occurrences(docs: DataFrame) -> DataFrame:
-    """(h1, h2, _id, _row, pos) of every line that may be dropped."""
-    lines = docs.select("_id", "_row", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("_id", "_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_CHARS)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), "_id", "_row", "pos")
+    """(h1, h2, _cw_id, _cw_row, pos) of every line that may be dropped."""
+    lines = docs.select("_cw_id", "_cw_row", F.posexplode(F.split("_cw_text", "\n", -1)).alias("pos", "line"))
+    keyed = lines.select("_cw_id", "_cw_row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= MIN_CHARS)
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), "_cw_id", "_cw_row", "pos")
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
-    """(_id, _row, words): sparse bitmaps of the lines to drop; rows that keep all lines have none."""
+    """(_cw_id, _cw_row, _cw_words): sparse bitmaps of the lines to drop; rows that keep all lines have none."""
     spark = docs.sparkSession
     seen = stored(line_occurrences(docs), "lines")
     total = seen.count()
-    by_key = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))
+    by_key = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_cw_id").alias("first_id"), F.max("_cw_id").alias("last_id"))
     # n * HOT_KEYS >= total holds for at most HOT_KEYS keys.
     hot = stored(by_key.where((F.col("n") * HOT_KEYS >= total) & (F.col("n") > 1)).select("h1", "h2", "first_id"), "hot-lines")
     hot = F.broadcast(hot)
-    of_hot = seen.join(hot, ["h1", "h2"]).where("_id > first_id").select("_id", "_row", "pos")
+    of_hot = seen.join(hot, ["h1", "h2"]).where("_cw_id > first_id").select("_cw_id", "_cw_row", "pos")
     cold = seen.join(hot, ["h1", "h2"], "left_anti").repartitionByRange(partitions_for(spark), "h1", "h2")
-    in_order = W.partitionBy("h1", "h2").orderBy("_id", "pos").rowsBetween(W.unboundedPreceding, 0)
-    of_cold = cold.withColumn("first_id", F.first("_id").over(in_order)).where("_id > first_id").select("_id", "_row", "pos")
+    in_order = W.partitionBy("h1", "h2").orderBy("_cw_id", "pos").rowsBetween(W.unboundedPreceding, 0)
+    of_cold = cold.withColumn("first_id", F.first("_cw_id").over(in_order)).where("_cw_id > first_id").select("_cw_id", "_cw_row", "pos")
     word = F.expr("pos div 64").cast("int").alias("word")
     bits = F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")
-    words = of_hot.unionByName(of_cold).groupBy("_id", "_row", word).agg(bits)
-    return words.groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    words = of_hot.unionByName(of_cold).groupBy("_cw_id", "_cw_row", word).agg(bits)
+    return words.groupBy("_cw_id", "_cw_row").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("_cw_words"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with `_lines`, `_dropped` (counts) and `_kept` (the text that stays)."""
-    joined = docs.join(bitmaps.hint("shuffle_hash"), ["_id", "_row"], "left")
-    gone = F.expr("flatten(transform(words, w -> transform(filter(sequence(0, 63), b -> (shiftrightunsigned(w.bits, b) & 1L) = 1L), b -> w.word * 64 + b)))")
-    lines = F.split("_text", "\n", -1)
-    out = joined.withColumn("_all", lines).withColumn("_gone", gone)
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), _gone), i -> _all[i]), '\n')")
+    """docs with `_cw_lines`, `_cw_dropped` (counts) and `_cw_kept` (the text that stays)."""
+    joined = docs.join(bitmaps.hint("shuffle_hash"), ["_cw_id", "_cw_row"], "left")
+    gone = F.expr("flatten(transform(_cw_words, w -> transform(filter(sequence(0, 63), b -> (shiftrightunsigned(w.bits, b) & 1L) = 1L), b -> w.word * 64 + b)))")
+    lines = F.split("_cw_text", "\n", -1)
+    out = joined.withColumn("_cw_all", lines).withColumn("_cw_gone", gone)
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(_cw_all) - 1), _cw_gone), i -> _cw_all[i]), '\n')")
     return out.select(
         *(c for c in docs.columns),
-        F.size("_all").cast("long").alias("_lines"),
-        F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("_dropped"),
-        F.when(F.col("words").isNull(), F.col("_text")).otherwise(kept).alias("_kept"),
+        F.size("_cw_all").cast("long").alias("_cw_lines"),
+        F.when(F.col("_cw_words").isNull(), F.lit(0)).otherwise(F.size("_cw_gone")).cast("long").alias("_cw_dropped"),
+        F.when(F.col("_cw_words").isNull(), F.col("_cw_text")).otherwise(kept).alias("_cw_kept"),
     )
 
 
@@ -85,13 +85,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each text without the lines that an earlier document holds."""
-    return deduplicated(docs, doc_id, text).withColumn(text, F.col("_kept")).select(*docs.columns)
+    return deduplicated(docs, doc_id, text).withColumn(text, F.col("_cw_kept")).select(*docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = deduplicated(docs)
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_cw_lines").alias("n_lines"), F.col("_cw_dropped").alias("n_dropped"), F.sha2(F.col("_cw_kept"), 256).alias("kept_sha256"))
 
 
 SQL_OP4 = f"""

@@ -69,13 +69,13 @@ def signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = [signed(fingerprint(t)) for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["_row"], pa.array(fp, pa.int64())], ["doc_id", "_row", "fp"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["_cw_row"], pa.array(fp, pa.int64())], ["doc_id", "_cw_row", "fp"])
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, fp) of every row; _row is the hash of the text that `identified` gives."""
-    rows = identified(docs).select("doc_id", "_row", F.col("_text").alias("text"))
-    return map_batches(rows, _fingerprints, "doc_id long, _row long, fp long")
+    """(doc_id, _cw_row, fp) of every row; _cw_row is the hash of the text that `identified` gives."""
+    rows = identified(docs).select("doc_id", "_cw_row", F.col("_cw_text").alias("text"))
+    return map_batches(rows, _fingerprints, "doc_id long, _cw_row long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -245,7 +245,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, fp, component_id) of every row."""
+    """(doc_id, _cw_row, fp, component_id) of every row."""
     rows = stored(document_fingerprints(docs), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(fingerprint_links(distinct.select("fp")))
@@ -254,17 +254,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Joined on complements, so that a hub of either kind can be split between tasks.
     named = placed.withColumn("k", F.bitwise_not("root")).join(least.select(F.bitwise_not("root").alias("k"), "component_id"), "k")
     named = named.select(F.bitwise_not("fp").alias("k"), "component_id")
-    return rows.withColumn("k", F.bitwise_not("fp")).join(named, "k").select("doc_id", "_row", "fp", "component_id")
+    return rows.withColumn("k", F.bitwise_not("fp")).join(named, "k").select("doc_id", "_cw_row", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, of each component the row of smallest id only; of rows that share that id, one with the smallest text hash."""
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_cw_row").alias("_cw_row"))
     rows = identified(docs)
-    keep = keep.select(F.coalesce("component_id", F.lit(-(2**63))).alias("_id"), "_row")
-    kept = rows.join(keep.hint("shuffle_hash"), ["_id", "_row"], "left_semi")
-    return kept.dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    keep = keep.select(F.coalesce("component_id", F.lit(-(2**63))).alias("_cw_id"), "_cw_row")
+    kept = rows.join(keep.hint("shuffle_hash"), ["_cw_id", "_cw_row"], "left_semi")
+    return kept.dropDuplicates(["_cw_id", "_cw_row"]).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_batches, table
+from causeway.llm.common import bounded_batches, map_batches, table
 
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
@@ -172,16 +173,13 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
     """df with the column `out`: tokens of the column `text`. The vocabulary's path must exist on the workers."""
     where = path or vocabulary_path()
 
-    @F.pandas_udf("long")
-    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import pandas as pd
-
+    def tokens(texts):
         bpe = bpe_of(where)
-        for column in texts:
-            yield pd.Series([bpe.count(x) for x in column], dtype="int64")
+        return pd.Series([bpe.count(x) for x in texts], dtype="int64")
 
-    tokens.__annotations__ = {}
-    return df.withColumn(out, tokens(F.col(text)))
+    tokens.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    bounded_batches(df.sparkSession)
+    return df.withColumn(out, F.pandas_udf(tokens, "long")(F.col(text)))
 
 
 def _counts(path: str):
