@@ -236,3 +236,36 @@ def eligibility(spark, sf_dir):
     q = F.when(k == 0, "VALID").when(k == 1, "DEGRADED").when(k == 2, "QUARANTINED").otherwise("UNAVAILABLE")
     blocks = F.when(b == 1, F.array(F.lit("quotes"))).when(b == 2, F.array(F.lit("day_end")))
     return op(o.select("name", "rows", q.alias("qualification"), blocks.alias("blocks")))
+
+
+@query("registry_summary", """with e as (select o_orderkey, case o_orderkey % 3 when 0 then 'data_quality' when 1 then 'risk_identification' else 'other' end as c, case o_custkey % 4 when 0 then 'computed_correctly' when 1 then 'replayed_and_explainable' when 2 then 'frozen_shadow_output' else 'tested_on_new_data' end as grade,
+case o_custkey % 5 when 0 then 'passed' else 'insufficient_evidence' end as outcome from orders where o_orderkey < 500)
+select k as capability, count(o_orderkey) as experiments, coalesce(array_to_string(list_sort(list(distinct grade) filter (where grade is not null)), ','), '') as grades,
+coalesce(array_to_string(list_sort(list(distinct 'e' || o_orderkey) filter (where grade = 'tested_on_new_data' and outcome = 'passed')), ','), '') as may_influence
+from (values ('data_quality'), ('risk_identification'), ('action_value')) t(k) left join e on c = k group by 1""")
+def registry_summary(spark, sf_dir):
+    from causeway.operators import research
+
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    pick = lambda c, n, values: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % n + 1).cast("int"))
+    rows = o.select(
+        F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("name"),
+        pick("o_orderkey", 3, ("data_quality", "risk_identification", "other")).alias("capability"),
+        pick("o_custkey", 4, research.LADDER).alias("grade"),
+        F.when(F.col("o_custkey") % 5 == 0, "passed").otherwise("insufficient_evidence").alias("outcome"),
+    )
+    return research.summary(rows)
+
+
+@query("late_open_interest", """with q as (select l_orderkey * 10 + l_linenumber as con_id, max(case when l_orderkey % 3 = 0 then l_quantity end) as oi from lineitem group by 1),
+r as (select l_orderkey * 10 + l_linenumber as con_id, l_suppkey % 4 + 1 as attempt, max(l_discount) as oi from lineitem where l_orderkey % 5 < 3 group by 1, 2)
+select con_id, coalesce(q.oi, x.oi) as open_interest, cast(case when q.oi is null and x.oi is not null then x.attempt else 0 end as int) as attempt
+from q left join (select con_id, min(attempt) as attempt, arg_min(oi, attempt) as oi from r group by 1) x using (con_id)""")
+def late_open_interest(spark, sf_dir):
+    from causeway.sources import quotes as landed_quotes
+
+    li = table(spark, sf_dir, "lineitem")
+    con = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("con_id")
+    q = li.groupBy(con).agg(F.max(F.when(F.col("l_orderkey") % 3 == 0, F.col("l_quantity"))).alias("open_interest")).withColumn("open_interest_attempt", F.lit(0))
+    r = li.where("l_orderkey % 5 < 3").groupBy(con, (F.col("l_suppkey") % 4 + 1).cast("int").alias("attempt")).agg(F.max("l_discount").alias("open_interest"))
+    return landed_quotes.with_late_open_interest(q, r).select("con_id", "open_interest", F.col("open_interest_attempt").alias("attempt"))
