@@ -100,7 +100,7 @@ def watermark_late_rows(spark, sf_dir):
     return spark.read.schema("start timestamp, n long").parquet(f"{at}/out")
 
 
-@query("json_props_extract", "select event_type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint)) as total from events group by 1")
+@query("json_props_extract", "select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events group by 1")
 def json_props_extract(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
