@@ -1,8 +1,7 @@
-"""What the text operators share: shared storage, Arrow streaming, and the two text rules."""
+"""What the text operators share: shared storage, Arrow streaming, row identity and folds."""
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,32 +12,11 @@ from pyspark.sql import functions as F
 
 from causeway.session import reachable
 
-#: White space of the text contracts: space and the ASCII controls TAB to CR.
-BLANK = r"[\x20\x09-\x0D]"
-#: The same set for str.split-like work in Python.
-BLANKS = " \t\n\x0b\x0c\r"
-#: Lower-casing touches A-Z only, so that no other script changes length or meaning.
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPLIT = re.compile("[\x20\x09-\x0d]+")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-
 #: Bytes of text in one Arrow batch handed to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 2000
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-def words_of(text: str) -> list[str]:
-    """Maximal runs outside BLANK, in order; none for blank or empty text."""
-    if text.isascii() and not _OTHER_SPACE.search(text) or not _OTHER_SPACE.search(text):
-        return text.split()
-    return [w for w in _SPLIT.split(text) if w]
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
