@@ -21,10 +21,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
 DISCOUNT = 0.75
 #: Words that a task knows by heart; words whose pairs and triples are counted; arcs kept of each length.
-VOCABULARY, PAIRED, ARCS = 200_000, 32_768, 1_000_000
+VOCABULARY, PAIRED, ARCS = 200_000, 32_768, 500_000
 LONGEST = 3
 #: Distinct words or n-grams that a task holds before it passes their counts on.
 HELD = 400_000
@@ -52,7 +53,7 @@ class Ids(dict):
         return -1
 
 
-@dataclass(frozen=True)
+@dataclass
 class Automaton:
     """Words 0.. by falling count (number 0: the end); states and arcs of each length as sorted arrays."""
 
@@ -64,6 +65,19 @@ class Automaton:
     #: Failure weight of each word as a state (the last entry: the beginning), then of each kept pair, ...
     fail: tuple[np.ndarray, ...]
 
+    def __getstate__(self):
+        """Words as one string: hundreds of thousands of small objects are slow and large to pickle."""
+        return b"\n".join(self.words), self.log_word, self.keys, self.arcs, self.fail
+
+    def __setstate__(self, state):
+        words, *rest = state
+        for name, value in zip(("words", "log_word", "keys", "arcs", "fail"), (words.split(b"\n"), *rest), strict=True):
+            setattr(self, name, value)
+
+    @cached_property
+    def ids(self) -> Ids:
+        return Ids(zip(self.words, range(len(self.words)), strict=True))
+
     def states(self, ids: np.ndarray, length: int) -> list[np.ndarray]:
         """For each token and n-gram length 2.., the place of the n-gram that it ends, -1 if not kept. ids[0] is the beginning."""
         start = len(self.words)
@@ -123,11 +137,12 @@ def _numbered(ids: Ids, start: int, text: str | None) -> tuple[np.ndarray, list[
     return out, words
 
 
-def _gram_counts(model: Automaton, length: int):
+def _gram_counts(shipped: Broadcast, length: int):
     """(key, n) of n-grams of this length, whose first length - 1 tokens are a state."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start = Ids(zip(model.words, range(len(model.words)), strict=True)), len(model.words)
+        model = shipped.value
+        ids, start = model.ids, len(model.words)
         held: list[np.ndarray] = []
         size = 0
 
@@ -193,8 +208,10 @@ def train(texts: DataFrame) -> Trained:
     model = Automaton(words, np.log10(probability), (), (), (np.zeros(start + 1),))
     of_state = histories
     for length in range(2, LONGEST + 1):
-        grams = map_batches(texts, _gram_counts(model, length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        shipped = texts.sparkSession.sparkContext.broadcast(model)
+        grams = map_batches(texts, _gram_counts(shipped, length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         grams = stored(grams.where("n >= 2"), "grams")
+        shipped.destroy()
         kept = grams.where(F.col("n") >= _threshold(grams, ARCS, 2)).toPandas().sort_values("key")
         keys, c = kept["key"].to_numpy(dtype=np.int64), kept["n"].to_numpy(dtype=float)
         below, word = keys // PAIRED, keys % PAIRED
@@ -202,10 +219,10 @@ def train(texts: DataFrame) -> Trained:
             below = np.where(below == PAIRED, start, below)
         share = (c - DISCOUNT) / of_state[below]
         left = 1 - np.bincount(below, weights=share, minlength=len(of_state))
-        fail = np.log10(np.maximum(left, 1e-12))
+        fail = np.log10(np.maximum(left, 1e-12)).astype(np.float32)
         model = Automaton(words, model.log_word, (*model.keys, keys), (*model.arcs, np.zeros(len(keys))), (*model.fail[: length - 2], fail, np.zeros(len(keys))))
         lower = _lower(model, length, below, word, probability)
-        model = Automaton(words, model.log_word, model.keys, (*model.arcs[:-1], np.log10(share + 10 ** fail[below] * lower)), model.fail)
+        model = Automaton(words, model.log_word, model.keys, (*model.arcs[:-1], np.log10(share + 10 ** fail[below] * lower).astype(np.float32)), model.fail)
         of_state = c
     model = Automaton(words, model.log_word, model.keys, model.arcs, model.fail[:-1])
     return Trained(model, counts, at, int(n), denominator)
@@ -227,9 +244,10 @@ def _lower(model: Automaton, length: int, below: np.ndarray, word: np.ndarray, p
 SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>"
 
 
-def _traversed(model: Automaton, trained: bool):
+def _traversed(shipped: Broadcast, trained: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start = Ids(zip(model.words, range(len(model.words)), strict=True)), len(model.words)
+        model = shipped.value
+        ids, start = model.ids, len(model.words)
         serial = TaskContext.get().partitionId() << 40
         log_word = model.log_word
         for b in batches:
@@ -251,7 +269,9 @@ def _traversed(model: Automaton, trained: bool):
 
 def scored(docs: DataFrame, trained: Trained) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
-    rows = stored(map_batches(docs.select("doc_id", "text"), _traversed(trained.automaton, trained.train_tokens > 0), SCORED), "traversed")
+    shipped = docs.sparkSession.sparkContext.broadcast(trained.automaton)
+    rows = stored(map_batches(docs.select("doc_id", "text"), _traversed(shipped, trained.train_tokens > 0), SCORED), "traversed")
+    shipped.destroy()
     rare = rows.select("row", F.explode("rare").alias("word"))
     table_ = trained.counts.where(F.col("n") < trained.threshold)
     found = rare.join(table_, "word", "left")
