@@ -1,15 +1,12 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by backoff over distributed n-gram tables.
 
-Counts are taken over all training texts, in the order words, pairs, triples. A state of the automaton is an n-gram
-that is kept; its arcs carry the probability of a next word after absolute discounting, interpolated with the
-state below, and its failure arc the weight of what is left. Text is read once from left to right: the state is
-carried along, and each token adds its arc's weight, or the weights of the failure arcs up to the state that
-has one (numpy arrays hold states and arcs, so a text's tokens are looked up together).
-
-The automaton is shipped to every task, so its size is bounded (VOCABULARY words, ARCS arcs for each length): those of
-largest count, by a threshold on the count that counting over the whole corpus finds. Words beyond it aren't lost: their
-exact probability, with the complete table of words, comes from a join on the word, in which frequent words take
-no part, so none is hot. The probabilities of all words and one unknown word add up to 1 in every state.
+Words, pairs and triples are counted over all training texts and all of them are kept, however rare: absolute
+discounting, interpolated with the n-gram one word shorter. An n-gram is its 64-bit hash, with the hash of its context
+(all but the last word) and of its lower n-gram (all but the first). Counts, the contexts' totals and the
+probabilities are tables joined on these hashes, so nothing that grows with the corpus is shipped to a task; only the
+VOCABULARY commonest words are, of which the others' weights come from a join on the word. Joins meet hot hashes on
+complements, so that adaptive execution can split them. The probabilities of all words and one unknown word add up
+to 1 in every context.
 
 Defined results: null text is empty and has the end token only; repeated rows are scored and counted each; a null
 doc_id has the fold of the empty string; without training texts every word has probability 1 over nothing
@@ -34,9 +31,8 @@ from causeway.llm.common import bucket_of, map_batches, stored, table
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
 DISCOUNT = 0.75
-#: Words that a task knows by heart; words whose pairs and triples are counted; arcs kept of each length.
-VOCABULARY, PAIRED, ARCS = 200_000, 32_768, 500_000
-LONGEST = 3
+#: Words that a task knows by heart.
+VOCABULARY = 200_000
 #: Distinct words or n-grams that a task holds before it passes their counts on.
 HELD = 400_000
 
@@ -53,63 +49,61 @@ class Ids(dict):
         return -1
 
 
+class Hashes(dict):
+    """Word -> 64-bit hash, kept once asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        return self.setdefault(word, xxhash.xxh64_intdigest(word, 7))
+
+
+#: A blank can't be a word: it stands for the end, two for the beginning.
+END, START = b" ", b"  "
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts followed by a word."""
+    return _mix(_mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def hashed(hashes: Hashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the beginning, the words and the end; of the pair that each token ends; of each triple, from the second token on."""
+    if len(hashes) > HELD:
+        hashes.clear()
+    h = np.array([hashes[w] for w in (START, *tokens(text), END)], dtype=np.uint64)
+    pairs = _extended(h[:-1], h[1:])
+    return h, pairs, _extended(pairs[:-1], h[2:])
+
+
 @dataclass
 class Automaton:
-    """Words 0.. by falling count (number 0: the end); states and arcs of each length as sorted arrays."""
+    """The words that a task knows by heart, by falling count (number 0: the end)."""
 
     words: list[bytes]
     log_word: np.ndarray
-    #: For n-grams of 2, 3, ...: keys (state below * PAIRED + word), their arcs' weights, and their failure weights.
-    keys: tuple[np.ndarray, ...]
-    arcs: tuple[np.ndarray, ...]
-    #: Failure weight of each word as a state (the last entry: the beginning), then of each kept pair, ...
-    fail: tuple[np.ndarray, ...]
 
     def __getstate__(self):
         """Words as one string: hundreds of thousands of small objects are slow and large to pickle."""
-        return b"\n".join(self.words), self.log_word, self.keys, self.arcs, self.fail
+        return b"\n".join(self.words), self.log_word
 
     def __setstate__(self, state):
-        words, *rest = state
-        for name, value in zip(("words", "log_word", "keys", "arcs", "fail"), (words.split(b"\n"), *rest), strict=True):
-            setattr(self, name, value)
+        self.words, self.log_word = state[0].split(b"\n"), state[1]
 
     @cached_property
     def ids(self) -> Ids:
         return Ids(zip(self.words, range(len(self.words)), strict=True))
 
-    def states(self, ids: np.ndarray, length: int) -> list[np.ndarray]:
-        """For each token and n-gram length 2.., the place of the n-gram that it ends, -1 if not kept. ids[0] is the beginning."""
-        start = len(self.words)
-        state = np.where((ids < PAIRED) | (ids == start), ids, -1)
-        state[state == start] = PAIRED
-        word, found = ids[1:], []
-        for n in range(min(length, len(self.keys))):
-            before = state[:-1] if n == 0 else np.append(-1, found[-1][:-1])
-            key = before * PAIRED + word
-            keys = self.keys[n]
-            at = np.searchsorted(keys, key)
-            hit = np.zeros(len(word), dtype=bool)
-            inside = at < len(keys)
-            hit[inside] = keys[at[inside]] == key[inside]
-            hit &= (before >= 0) & (word >= 0) & (word < PAIRED)
-            found.append(np.where(hit, at, -1))
-        return found
-
     def log_probability(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token after the beginning; tokens of number -1 lack the weight of the word itself."""
+        """log10 of each token after the beginning as a single word; tokens of number -1 lack that weight."""
         word = ids[1:]
-        total = np.where(word >= 0, self.log_word[word], 0.0)
-        found = self.states(ids, len(self.keys))
-        for n, (arcs, hits) in enumerate(zip(self.arcs, found, strict=True)):
-            if n == 0:
-                before = ids[:-1]
-                fail = np.where(before >= 0, self.fail[0][before], 0.0)
-            else:
-                before = np.append(-1, found[n - 1][:-1])
-                fail = np.where(before >= 0, self.fail[n][before], 0.0) if len(self.fail[n]) else np.zeros(len(word))
-            total = np.where(hits >= 0, arcs[hits], fail + total) if len(arcs) else fail + total
-        return total
+        return np.where(word >= 0, self.log_word[word], 0.0)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,37 +131,42 @@ def _numbered(ids: Ids, start: int, text: str | None) -> tuple[np.ndarray, list[
     return out, words
 
 
-def _gram_counts(shipped: Broadcast, length: int):
-    """(key, n) of n-grams of this length, whose first length - 1 tokens are a state."""
+GRAM = "gram long, context long, lower long, length int, n long"
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        ids, start = model.ids, len(model.words)
-        held: list[np.ndarray] = []
-        size = 0
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and triples of texts, counted `times` each (0: only named)."""
+    hashes = Hashes()
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
 
-        for b in batches:
-            for text in b["text"].to_pylist():
-                x, _ = _numbered(ids, start, text)
-                word = x[1:]
-                if length == 2:
-                    before = np.where(x[:-1] == start, PAIRED, np.where(x[:-1] < PAIRED, x[:-1], -1))
-                else:
-                    before = np.append(-1, model.states(x, length - 2)[-1][:-1])
-                keep = (before >= 0) & (word >= 0) & (word < PAIRED)
-                held.append(before[keep] * PAIRED + word[keep])
-                size += len(held[-1])
-            if size >= 8 * HELD:
-                yield out()
-                held, size = [], 0
-        if size:
+    def out() -> pa.RecordBatch:
+        gram, context, lower, length, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, own = np.unique(gram, return_index=True, return_inverse=True)
+        cols = [x[at].view(np.int64) for x in (gram, context, lower)]
+        n = np.bincount(own, weights=n, minlength=len(at)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(length[at]), pa.array(n)], ["gram", "context", "lower", "length", "n"])
+
+    for b in batches:
+        for text, times in zip(b["text"].to_pylist(), b["times"].to_pylist(), strict=True):
+            h, pairs, triples = hashed(hashes, text)
+            for length, x in ((2, (pairs, h[:-1], h[1:])), (3, (triples, pairs[:-1], pairs[1:]))):
+                held.append((*x, np.full(len(x[0]), length, dtype=np.int32), np.full(len(x[0]), times, dtype=float)))
+                size += len(x[0])
+        if size >= 4 * HELD:
             yield out()
+            held, size = [], 0
+    if size:
+        yield out()
 
-    return f
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """gram, context, lower, length, n of all pairs and triples of texts (text, times)."""
+    return _summed(map_batches(texts.select("text", "times"), _gram_counts, GRAM))
+
+
+def _summed(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.first("length").alias("length"), F.sum("n").alias("n"))
 
 
 def _threshold(counts: DataFrame, most: int, least: int = 1) -> int:
@@ -185,13 +184,15 @@ def _threshold(counts: DataFrame, most: int, least: int = 1) -> int:
 class Trained:
     automaton: Automaton
     counts: DataFrame  # word, n: all words of the training texts
+    grams: DataFrame  # gram, context, lower, length, n: all pairs and triples of the training texts, and of `also` with n 0
     threshold: int  # words from this count on are in the automaton
     train_tokens: int
+    documents: int
     denominator: float
 
 
-def train(texts: DataFrame) -> Trained:
-    """`texts`: one column, text."""
+def train(texts: DataFrame, also: DataFrame | None = None) -> Trained:
+    """`texts`: one column, text. `also`: texts that aren't learned from, whose n-grams are named beforehand."""
     partial = map_batches(texts, _word_counts, "word binary, n long")
     counts = stored(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
     documents = texts.count()
@@ -200,75 +201,82 @@ def train(texts: DataFrame) -> Trained:
     denominator = n + ADDED * (v + 1)
     at = _threshold(counts, VOCABULARY)
     known = sorted(((r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= at).toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    words = [b" ", *(w for _, w in known)]  # a blank can't be a word: it stands for the end
+    words = [END, *(w for _, w in known)]
     size = np.array([documents, *(c for c, _ in known)], dtype=float)
-    probability = (size + ADDED) / denominator
-    start = len(words)
-    histories = np.append(size, documents)
-    model = Automaton(words, np.log10(probability), (), (), (np.zeros(start + 1),))
-    of_state = histories
-    for length in range(2, LONGEST + 1):
-        shipped = texts.sparkSession.sparkContext.broadcast(model)
-        grams = map_batches(texts, _gram_counts(shipped, length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        grams = stored(grams.where("n >= 2"), "grams")
-        shipped.destroy()
-        kept = grams.where(F.col("n") >= _threshold(grams, ARCS, 2)).toPandas().sort_values("key")
-        keys, c = kept["key"].to_numpy(dtype=np.int64), kept["n"].to_numpy(dtype=float)
-        below, word = keys // PAIRED, keys % PAIRED
-        if length == 2:
-            below = np.where(below == PAIRED, start, below)
-        share = (c - DISCOUNT) / of_state[below]
-        left = 1 - np.bincount(below, weights=share, minlength=len(of_state))
-        fail = np.log10(np.maximum(left, 1e-12)).astype(np.float32)
-        model = Automaton(words, model.log_word, (*model.keys, keys), (*model.arcs, np.zeros(len(keys))), (*model.fail[: length - 2], fail, np.zeros(len(keys))))
-        lower = _lower(model, length, below, word, probability)
-        model = Automaton(words, model.log_word, model.keys, (*model.arcs[:-1], np.log10(share + 10 ** fail[below] * lower).astype(np.float32)), model.fail)
-        of_state = c
-    model = Automaton(words, model.log_word, model.keys, model.arcs, model.fail[:-1])
-    return Trained(model, counts, at, int(n), denominator)
-
-
-def _lower(model: Automaton, length: int, below: np.ndarray, word: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Probability of each n-gram's last word one state below."""
-    if length == 2:
-        return probability[word]
-    middle = model.keys[length - 3][below] % PAIRED
-    if length > 3:
-        raise NotImplementedError("lengths above 3")
-    key = middle * PAIRED + word
-    at = np.minimum(np.searchsorted(model.keys[0], key), len(model.keys[0]) - 1)
-    hit = model.keys[0][at] == key
-    return np.where(hit, 10 ** model.arcs[0][at], 10 ** model.fail[0][middle] * probability[word])
-
-
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<binary>"
+    model = Automaton(words, np.log10((size + ADDED) / denominator))
+    seen = texts.select("text", F.lit(1).alias("times"))
+    if also is not None:
+        seen = seen.unionByName(also.select("text", F.lit(0).alias("times")))
+    return Trained(model, counts, stored(gram_counts(seen), "grams"), at, int(n), documents, denominator)
+
+
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        h = np.array([xxhash.xxh64_intdigest(w, 7) for w in b["word"].to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["n"]], ["gram", "n"])
+
+
+def _matched(left: DataFrame, column: str, right: DataFrame, key: str) -> DataFrame:
+    """A left join on complements, which deals both sides anew and lets a hot hash be split."""
+    return left.withColumn("k", F.bitwise_not(column)).join(right.withColumn("k", F.bitwise_not(key)).drop(key), "k", "left").drop("k")
+
+
+def probabilities(grams: DataFrame, trained: Trained) -> DataFrame:
+    """gram, p of all pairs and triples."""
+    spark = grams.sparkSession
+    end = spark.createDataFrame([(END, trained.documents)], "word binary, n long")
+    words = map_batches(trained.counts.select("word", "n").unionByName(end), _word_hashes, "gram long, n long")
+    p = words.select("gram", ((F.col("n") + ADDED) / F.lit(trained.denominator)).alias("p"))
+    contexts = grams.groupBy("context").agg(F.sum("n").alias("c"), F.count(F.when(F.col("n") > 0, 1)).alias("types")).where("c > 0")
+    contexts = stored(contexts, "contexts")
+    shorter, out = p, []
+    for length in (2, 3):
+        rows = _matched(grams.where(F.col("length") == length).select("gram", "context", "lower", "n"), "lower", shorter, "gram")
+        rows = _matched(rows.select("gram", "context", "n", "p"), "context", contexts, "context")
+        lower = F.coalesce("p", F.lit(ADDED / trained.denominator))
+        share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * lower
+        shorter = stored(rows.select("gram", F.when(F.col("c") > 0, share / F.col("c")).otherwise(lower).alias("p")), f"probabilities-{length}")
+        out.append(shorter)
+    return out[0].unionByName(out[1])
+
+
+SCORED = "row long, doc_id long, n_tokens long, known long, base double, rare array<binary>, grams array<long>, times array<int>"
 
 
 def _traversed(shipped: Broadcast, trained: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        ids, start = model.ids, len(model.words)
+        ids, start, hashes = model.ids, len(model.words), Hashes()
         serial = TaskContext.get().partitionId() << 40
-        log_word = model.log_word
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 x, words = _numbered(ids, start, text)
-                word = x[1:]
-                inside = word >= 0
+                inside = x[1:] >= 0
                 rare = [words[i] for i in np.flatnonzero(~inside)]
                 known = int(inside.sum()) - (not trained)
-                rows.append((serial, doc, len(word), known, float(log_word[word[inside]].sum()), float(model.log_probability(x).sum()), rare))
+                _, pairs, triples = hashed(hashes, text)
+                grams, times = np.unique(np.append(pairs[:1], triples), return_counts=True)
+                rows.append((serial, doc, len(inside), known, float(model.log_probability(x).sum()), rare, grams.view(np.int64), times.astype(np.int32)))
                 serial += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "n_tokens", "known", "base", "rare", "grams", "times"])
 
     return f
 
 
-def scored(docs: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+def scored(docs: DataFrame, trained: Trained, named: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+
+    `named`: training has named all n-grams of docs.
+    """
+    grams = trained.grams
+    if not named:
+        grams = stored(_summed(grams.unionByName(gram_counts(docs.select("text", F.lit(0).alias("times"))))), "grams")
+    weights = probabilities(grams, trained)
     shipped = docs.sparkSession.sparkContext.broadcast(trained.automaton)
     rows = stored(map_batches(docs.select("doc_id", "text"), _traversed(shipped, trained.train_tokens > 0), SCORED), "traversed")
     shipped.destroy()
@@ -277,7 +285,9 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
     found = rare.join(table_, "word", "left")
     weight = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(trained.denominator))
     sums = found.groupBy("row").agg(F.sum(weight).alias("more"), F.count("n").alias("more_known"))
-    out = rows.drop("rare").join(sums, "row", "left")
+    read = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("at")).select("row", "at.grams", "at.times")
+    scores = _matched(read, "grams", weights, "gram").groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("score"))
+    out = rows.drop("rare", "grams", "times").join(sums, "row", "left").join(scores, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -285,12 +295,13 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(trained.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        "score",
     )
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trained = train(docs.where(bucket_of("doc_id", FOLDS) != HELD_OUT).select("text"))
-    out = scored(docs, trained)
-    return out.select("doc_id", (bucket_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = bucket_of("doc_id", FOLDS) == HELD_OUT
+    trained = train(docs.where(~held_out).select("text"), docs.where(held_out).select("text"))
+    out = scored(docs, trained, named=True)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

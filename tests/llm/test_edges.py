@@ -298,6 +298,36 @@ def test_language_model_is_normalised_and_rare_words_keep_their_weight(spark, mo
         assert r["base_score"] == pytest.approx(want)
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    """Pairs and triples of rare words and those seen once count as any other: against brute force."""
+    from collections import Counter
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 30) if i < 400) for _ in range(40)]
+    learned, all_ = texts[:30], [*texts, "w1 w2 never seen", ""]
+    c, kinds = Counter(), Counter()
+    for t in learned:
+        w = ["<", *t.split(), ">"]
+        for k in (1, 2, 3):
+            c.update(tuple(w[i : i + k]) for i in range(k == 1, len(w) - k + 1))
+    total: Counter = Counter()
+    for g in c:
+        kinds[g[:-1]] += 1
+        total[g[:-1]] += c[g]
+    n, v = total[()], kinds[()]
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 0.1) / (n + 0.1 * (v + 1))
+        left = total[g[:-1]]
+        return (max(c[g] - 0.75, 0) + 0.75 * kinds[g[:-1]] * p(g[1:])) / left if left else p(g[1:])
+
+    trained = language_model.train(docs(spark, learned).select("text"))
+    for r in language_model.scored(docs(spark, all_), trained).collect():
+        w = ["<", *all_[r["doc_id"]].split(), ">"]
+        assert r["score"] == pytest.approx(sum(np.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w))))
+
+
 def test_toxicity_cases(spark, odd):
     rng = np.random.default_rng(5)
     plain = [f"word{i}" for i in range(200)]
