@@ -142,14 +142,13 @@ class GrayIndex:
             found.append((q[near], node[near]))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             while len(a):
-                m = np.minimum(label[a], label[b])
-                moved = (label[a] != m) | (label[b] != m)
-                if not moved.any():
+                x, y = label[a], label[b]
+                if (x == y).all():
                     break
-                # The labels' own labels move too, so that all rows that carry one follow.
-                for side in (a, b):
-                    np.minimum.at(label, label[side], m)
-                    np.minimum.at(label, side, m)
+                # Only labels' own labels move, never a row's by itself: all rows that carry one follow.
+                m = np.minimum(x, y)
+                np.minimum.at(label, x, m)
+                np.minimum.at(label, y, m)
                 label = _settled(label)
         return label
 

@@ -63,6 +63,38 @@ def test_links_span_the_components_of_each_group(seed):
         assert sorted(map(sorted, expected.values())) == sorted(map(sorted, found.values()))
 
 
+def dense_group(rng, satellites):
+    """Near copies that differ in four bits only, some with another fingerprint four more bits away; and strangers."""
+    base = int(rng.integers(0, 2**62))
+    cube = rng.choice(64, 4, replace=False)
+    rest = np.setdiff1d(np.arange(64), cube)
+    near = [base ^ sum(1 << int(cube[j]) for j in range(4) if c >> j & 1) for c in rng.permutation(16)[: rng.integers(8, 17)]]
+    far = [near[i % len(near)] ^ sum(1 << int(b) for b in rng.choice(rest, 4, replace=False)) for i in range(satellites)]
+    return near + far + [int(x) for x in rng.integers(0, 2**62, 10)]
+
+
+def test_dense_runs_keep_all_their_links():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        fp = np.unique(np.array(dense_group(rng, int(rng.integers(2, 9))), dtype=np.uint64))
+        index = simhash.GrayIndex(fp, np.zeros(len(fp), dtype=int))
+        assert (index.links() == brute(index.fp, np.zeros(len(fp), dtype=int))).all(), seed
+
+
+def test_a_group_of_several_blocks_keeps_all_its_links():
+    rng = np.random.default_rng(0)
+    fp = np.unique(np.array([x for _ in range(90) for x in dense_group(rng, 24)], dtype=np.uint64))
+    assert len(fp) > 6 * simhash.QUERIES
+    index = simhash.GrayIndex(fp, np.zeros(len(fp), dtype=int))
+    near = [np.flatnonzero(np.bitwise_count(index.fp ^ x) <= simhash.LINK_BITS) for x in index.fp]
+    label, before = np.arange(len(fp)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        for at in near:
+            label[at] = label[at].min()
+    assert (index.links() == label).all()
+
+
 def test_gray_rank_inverts_the_gray_sequence():
     n = np.arange(4096, dtype=np.uint64)
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
