@@ -4,9 +4,9 @@ A k-mer of code points is chosen if the smallest hash among its s-mers lies at i
 is chosen depends on its own characters only, so an edit leaves all anchors outside its reach as they were, and
 equal passages carry equal anchors wherever they stand.
 
-A fingerprint is the ANCHORS chosen k-mers of smallest hash, each with its first position, in hexadecimal: 8 digits of
-hash, 8 of position. The likeness of two is the share of anchors in their union's smallest that both have and that
-lie in the same order in both (positional matching by the longest increasing run of positions).
+A fingerprint is all chosen k-mers, some two in nine, each with its first position, in hexadecimal by hash: 8 digits of
+hash, 8 of position. Its length follows the text's. The likeness of two is the share of anchors in their union that
+both have and that lie in the same order in both (positional matching by the longest increasing run of positions).
 
 Defined results: null is empty text, whose fingerprint is empty and like another empty one (1) only; a text without
 a chosen k-mer has one anchor, its whole content; repeated rows are documents each; a null doc_id comes after all
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from causeway.llm.common import NO_ID, map_batches, partitions_for, table
 
 K, S = 12, 4
-ANCHORS = 48
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -39,7 +38,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: str) -> np.ndarray:
-    """Chosen k-mers as hash << 32 | position, one for each hash, in order of hash; at most ANCHORS."""
+    """Chosen k-mers as hash << 32 | position, one for each hash, in order of hash."""
     if not text:
         return np.empty(0, dtype=np.uint64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -64,12 +63,7 @@ def anchors(text: str) -> np.ndarray:
     third = np.uint64(0x9E3779B97F4A7C15)
     key = _mix(_mix(h[at] * third + h[at + S]) * third + h[at + 2 * S]) >> np.uint64(32)
     both = key << np.uint64(32) | at.astype(np.uint64)
-    if len(both) > 4 * ANCHORS:
-        few = np.partition(both, 4 * ANCHORS)[: 4 * ANCHORS + 1]
-        chosen = _distinct(few)
-        if len(chosen) >= ANCHORS:
-            return chosen[:ANCHORS]
-    return _distinct(both)[:ANCHORS]
+    return _distinct(both)
 
 
 def _distinct(both: np.ndarray) -> np.ndarray:
@@ -87,9 +81,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     ha, hb = a >> np.uint64(32), b >> np.uint64(32)
-    union = np.union1d(ha, hb)[:ANCHORS]
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
-    both = (hb[at] == ha) & (ha <= union[-1])
+    both = hb[at] == ha
     if not both.any():
         return 0.0
     pa_, pb = a[both] & np.uint64(0xFFFFFFFF), b[at[both]] & np.uint64(0xFFFFFFFF)
@@ -102,7 +95,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
             i = bisect_left(tails, x)
             tails[i : i + 1] = [x]
         matched = len(tails)
-    return matched / len(union)
+    return matched / (len(ha) + len(hb) - int(both.sum()))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

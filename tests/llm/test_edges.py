@@ -208,6 +208,21 @@ def test_syncmers_don_t_depend_on_what_surrounds_them():
     assert syncmers.fingerprint(syncmers.anchors("")) == "" and syncmers.likeness(syncmers.anchors(""), syncmers.anchors("")) == 1.0
 
 
+def test_fingerprints_see_any_passage_of_a_long_text():
+    """Fifty words changed in place, so that nothing shifts, wherever they stand among 20,000."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(20_000)]
+    whole = syncmers.anchors(" ".join(words))
+    assert len(whole) > 20_000
+    for at in range(0, 20_000, 2_500):
+        other = [*words[:at], *("".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(50)), *words[at + 50 :]]
+        changed = syncmers.anchors(" ".join(other))
+        assert syncmers.fingerprint(changed) != syncmers.fingerprint(whole)
+        assert 0.98 < syncmers.likeness(whole, changed) < 1
+    passage = syncmers.anchors(" ".join(words[9_000:9_050]))
+    assert len(np.intersect1d(passage >> np.uint64(32), whole >> np.uint64(32))) == len(passage) > 30
+
+
 def test_warc_cases(spark):
     big = "<p>same</p>" * 200
     rows = [(1, "http://a/ b", big), (7, None, big), (3, "u", None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (7, None, big), (None, "u", big), (8, "u", "ü" * 700)]
