@@ -1,40 +1,59 @@
-"""Language-model scoring by backoff over distributed n-gram tables.
-
-Words, pairs and triples are counted over all training texts and all of them are kept, however rare: absolute
-discounting, interpolated with the n-gram one word shorter. An n-gram is its 64-bit hash, with the hash of its context
-(all but the last word) and of its lower n-gram (all but the first). Counts, the contexts' totals and the
-probabilities are tables joined on these hashes, so nothing that grows with the corpus is shipped to a task; only the
-VOCABULARY commonest words are, of which the others' weights come from a join on the word. Joins meet hot hashes on
-complements, so that adaptive execution can split them. The probabilities of all words and one unknown word add up
-to 1 in every context.
+"""Language-model scoring by a weighted backoff automaton over all n-grams of the corpus.
+
+1. Chunks: documents are tokenized once into chunks of about CHUNK_TOKENS tokens: numbers into the chunk's own list of
+   words. The table of chunks ends the lineage.
+2. Counting: each chunk names its distinct words, pairs and triples by hash, with their training occurrences, to
+   buckets that are ranges of the hash. A bucket adds up and answers each chunk with the totals, in the same order.
+   A chunk names an n-gram once, so no n-gram and no state is hot; all are kept, however rare.
+3. Automaton: the answers make a chunk's own backoff automaton, which has just the states and arcs that its texts can
+   reach, with the corpus' weights. States are the pairs and words seen in training and the root; an arc consumes a
+   word and leads to the longest state that it ends; a failure arc drops the first word of a state.
+4. Traversal: texts are read from left to right, many at a time; each carries its state, follows failure arcs until
+   an arc has the next word, and adds up log-probabilities. Long texts are cut into lanes, each of which
+   begins two words early: the state depends on no more than that.
+
+Smoothing: p(w | context) = (1 - s) n / c + s p(w | shorter context), for the context's count c and the n-gram's count n;
+a context passes on the share s of its mass, which depends on its length and on the power of two below c. A share
+is learned by leaving one out: of the training words whose context stands c + 1 times in their chunk, those that
+stand there once. Words have additive smoothing. In each context the probabilities of all words and one unknown word
+add up to 1. Which documents share a chunk follows from how the input is split, and moves the learned shares by
+a trifle; counts don't depend on it.
+
+n-grams are taken as equal if their hashes are, of 24 bits more than number the corpus' tokens twice over (64 at most).
 
 Defined results: null text is empty and has the end token only; repeated rows are scored and counted each; a null
 doc_id has the fold of the empty string; without training texts every word has probability 1 over nothing
-(log 0); an empty table gives no rows; other columns are ignored.
+(log 0); an empty table gives no rows; other columns are ignored. A worker holds one chunk, and a text longer than
+that whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import bucket_of, map_batches, stored, table
+from causeway.llm.common import bucket_of, map_batches, partitions_for, stored, table
+from causeway.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
-DISCOUNT = 0.75
-#: Words that a task knows by heart.
-VOCABULARY = 200_000
-#: Distinct words or n-grams that a task holds before it passes their counts on.
-HELD = 400_000
+CHUNK_TOKENS = 4_000_000
+#: Bits of a hash beyond those that number the n-grams.
+SPARE_BITS = 24
+#: Tokens whose n-grams one bucket adds up, about.
+BUCKET_TOKENS = 2_000_000
+#: Tokens that one lane of a traversal reads.
+LANE = 512
+#: Powers of two that a context's count may reach.
+CLASSES = 48
+#: A blank can't be a word: it stands for the end, two for the beginning.
+END, START = b" ", b"  "
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,24 +61,10 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Ids(dict):
-    """Word -> number, -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-class Hashes(dict):
-    """Word -> 64-bit hash, kept once asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        return self.setdefault(word, xxhash.xxh64_intdigest(word, 7))
-
+def word_hash(word: bytes) -> int:
+    import xxhash
 
-#: A blank can't be a word: it stands for the end, two for the beginning.
-END, START = b" ", b"  "
+    return xxhash.xxh64_intdigest(word, 7)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,235 +78,409 @@ def _extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(_mix(context + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def hashed(hashes: Hashes, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the beginning, the words and the end; of the pair that each token ends; of each triple, from the second token on."""
-    if len(hashes) > HELD:
-        hashes.clear()
-    h = np.array([hashes[w] for w in (START, *tokens(text), END)], dtype=np.uint64)
-    pairs = _extended(h[:-1], h[1:])
-    return h, pairs, _extended(pairs[:-1], h[2:])
+# Chunks
+
+
+class Numbers(dict):
+    """Word -> number, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 @dataclass
-class Automaton:
-    """The words that a task knows by heart, by falling count (number 0: the end)."""
+class Chunk:
+    """Texts as numbers into `words` (hashes; number 0 is the end), each closed by the end."""
+
+    words: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+    learned: np.ndarray
+
+    @property
+    def bits(self) -> int:
+        return len(self.words).bit_length()
+
+    @property
+    def start(self) -> int:
+        """The number of the beginning, which is no word."""
+        return len(self.words)
+
+    def begun(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers with a beginning before each text; the places of all tokens; of those from the second of a text on."""
+        begin = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
+        y = np.empty(len(self.ids) + len(self.lengths), dtype=np.uint64)
+        token = np.ones(len(y), dtype=bool)
+        token[begin] = False
+        y[token], y[begin] = self.ids, self.start
+        second = token.copy()
+        second[begin + 1] = False
+        return y, np.flatnonzero(token), np.flatnonzero(second)
+
+
+def _distinct(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and their occurrences in learned texts."""
+    if not len(keys):
+        return keys, np.empty(0, dtype=np.int64)
+    marked = np.sort(keys << np.uint64(1) | learned.astype(np.uint64))
+    keys = marked >> np.uint64(1)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
-    words: list[bytes]
-    log_word: np.ndarray
 
-    def __getstate__(self):
-        """Words as one string: hundreds of thousands of small objects are slow and large to pickle."""
-        return b"\n".join(self.words), self.log_word
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk with their occurrences in its learned texts.
 
-    def __setstate__(self, state):
-        self.words, self.log_word = state[0].split(b"\n"), state[1]
+    pairs: first word << bits | second word; triples: number of the first pair << bits | last word. Both rise.
+    """
 
-    @cached_property
-    def ids(self) -> Ids:
-        return Ids(zip(self.words, range(len(self.words)), strict=True))
+    bits: int
+    words_n: np.ndarray
+    pairs: np.ndarray
+    pairs_n: np.ndarray
+    triples: np.ndarray
+    triples_n: np.ndarray
+
+    @classmethod
+    def of(cls, chunk: Chunk) -> Grams:
+        y, at1, at2 = chunk.begun()
+        taught = np.repeat(chunk.learned, chunk.lengths + 1)
+        bits = np.uint64(chunk.bits)
+        words_n = np.bincount(chunk.ids[np.repeat(chunk.learned, chunk.lengths)].astype(np.int64), minlength=len(chunk.words))
+        pairs, pairs_n = _distinct(y[at1 - 1] << bits | y[at1], taught[at1])
+        if 3 * chunk.bits < 64:
+            triples, triples_n = _distinct((y[at2 - 2] << bits | y[at2 - 1]) << bits | y[at2], taught[at2])
+            first = np.searchsorted(pairs, triples >> bits).astype(np.uint64)
+            triples = first << bits | triples & ((np.uint64(1) << bits) - np.uint64(1))
+        else:
+            first = np.searchsorted(pairs, y[at2 - 2] << bits | y[at2 - 1]).astype(np.uint64)
+            triples, triples_n = _distinct(first << bits | y[at2], taught[at2])
+        return cls(chunk.bits, words_n, pairs, pairs_n, triples, triples_n)
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.uint64(self.bits)
+        return (keys >> bits).astype(np.int64), (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+    def hashes(self, words: np.ndarray, width: int) -> list[np.ndarray]:
+        """Hashes of words, pairs and triples, of `width` bits."""
+        words = np.append(words, np.uint64(word_hash(START)))
+        a, b = self.split(self.pairs)
+        pairs = _extended(words[a], words[b])
+        p, c = self.split(self.triples)
+        return [h >> np.uint64(64 - width) for h in (words[:-1], pairs, _extended(pairs[p], words[c]))]
+
+    def left_out(self, start: int, learned_texts: int) -> np.ndarray:
+        """By n-gram length (2, 3) and power of two below the context's count less one: training words, and those met once."""
+        out = np.zeros((2, 2, CLASSES))
+        context = np.append(self.words_n, learned_texts)
+        for k, (n, c) in enumerate(((self.pairs_n, context[self.split(self.pairs)[0]]), (self.triples_n, self.pairs_n[self.split(self.triples)[0]]))):
+            seen = (c > 1) & (n > 0)
+            at = power_of_two(c[seen] - 1)
+            out[k, 0] = np.bincount(at, weights=n[seen], minlength=CLASSES)
+            out[k, 1] = np.bincount(at, weights=n[seen] == 1, minlength=CLASSES)
+        return out
+
+
+def power_of_two(n: np.ndarray) -> np.ndarray:
+    """The exponent of the power of two at or below each count of 1 or more."""
+    return np.minimum(np.frexp(n.astype(float))[1] - 1, CLASSES - 1)
+
+
+CHUNKS = "chunk long, tokens long, train_tokens long, train_texts long, left_out array<double>, words binary, ids binary, lengths binary, learned binary, docs array<long>"
+
+
+def _chunks(most: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 32
+        numbers: Numbers = Numbers({END: 0})
+        ids: list[np.ndarray] = []
+        docs: list[tuple[int | None, bool]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            x = np.concatenate(ids)
+            counts = np.bincount(x, minlength=len(numbers))
+            counts[0] = len(x) + 1
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), dtype=np.uint64)
+            place[order] = np.arange(len(order), dtype=np.uint64)
+            words = np.fromiter(map(word_hash, numbers), dtype=np.uint64, count=len(numbers))[order]
+            lengths, learned = np.array([len(i) for i in ids]), np.array([d[1] for d in docs])
+            chunk = Chunk(words, place[x], lengths, learned)
+            left_out = Grams.of(chunk).left_out(chunk.start, int(learned.sum())).ravel().tolist()
+            row = [serial, len(x), int(lengths[learned].sum()), int(learned.sum()), left_out, words.tobytes(), pack(chunk.ids), pack(lengths), pack(learned), [d[0] for d in docs]]
+            kinds = (*[pa.int64()] * 4, pa.list_(pa.float64()), *[pa.binary()] * 4, pa.list_(pa.int64()))
+            names = ["chunk", "tokens", "train_tokens", "train_texts", "left_out", "words", "ids", "lengths", "learned", "docs"]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    def log_probability(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token after the beginning as a single word; tokens of number -1 lack that weight."""
-        word = ids[1:]
-        return np.where(word >= 0, self.log_word[word], 0.0)
+        for b in batches:
+            for doc, text, learned in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "learned")), strict=True):
+                words = tokens(text)
+                words.append(END)
+                ids.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+                docs.append((doc, bool(learned)))
+                size += len(words)
+                if size >= most:
+                    yield out()
+                    numbers, ids, docs, size = Numbers({END: 0}), [], [], 0
+                    serial += 1
+        if docs:
+            yield out()
 
+    return f
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+def chunk_of(words: bytes, ids: bytes, lengths: bytes, learned: bytes) -> Chunk:
+    return Chunk(np.frombuffer(words, dtype=np.uint64), unpack(ids), unpack(lengths).astype(np.int64), unpack(learned).astype(bool))
 
-    for b in batches:
-        for text in b["text"].to_pylist():
-            held.update(tokens(text))
-        if len(held) >= HELD:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
-
-
-def _numbered(ids: Ids, start: int, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers with the beginning before and the end (0) after them; and the words."""
-    words = tokens(text)
-    out = np.zeros(len(words) + 2, dtype=np.int64)
-    out[0] = start
-    out[1:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-    return out, words
-
-
-GRAM = "gram long, context long, lower long, length int, n long"
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and triples of texts, counted `times` each (0: only named)."""
-    hashes = Hashes()
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        gram, context, lower, length, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, own = np.unique(gram, return_index=True, return_inverse=True)
-        cols = [x[at].view(np.int64) for x in (gram, context, lower)]
-        n = np.bincount(own, weights=n, minlength=len(at)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(length[at]), pa.array(n)], ["gram", "context", "lower", "length", "n"])
-
-    for b in batches:
-        for text, times in zip(b["text"].to_pylist(), b["times"].to_pylist(), strict=True):
-            h, pairs, triples = hashed(hashes, text)
-            for length, x in ((2, (pairs, h[:-1], h[1:])), (3, (triples, pairs[:-1], pairs[1:]))):
-                held.append((*x, np.full(len(x[0]), length, dtype=np.int32), np.full(len(x[0]), times, dtype=float)))
-                size += len(x[0])
-        if size >= 4 * HELD:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
 
+# Counting
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, context, lower, length, n of all pairs and triples of texts (text, times)."""
-    return _summed(map_batches(texts.select("text", "times"), _gram_counts, GRAM))
 
+def bounds(buckets: int, width: int) -> np.ndarray:
+    """The least hash of each bucket."""
+    return np.array([(k << width) // buckets for k in range(buckets)], dtype=np.uint64)
 
-def _summed(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("gram").agg(F.first("context").alias("context"), F.first("lower").alias("lower"), F.first("length").alias("length"), F.sum("n").alias("n"))
 
+REQUESTS = "bucket int, level int, chunk long, grams binary, counts binary"
 
-def _threshold(counts: DataFrame, most: int, least: int = 1) -> int:
-    """The smallest count that at most `most` rows reach. Counts above 100,000 are looked at as one."""
-    sizes = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    at, rows = 100_001, 0
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        if rows + r["rows"] > most or r["n"] < least:
-            break
-        rows, at = rows + r["rows"], r["n"]
-    return at
 
+def _requests(buckets: int, width: int):
+    low = bounds(buckets, width)
 
-@dataclass(frozen=True)
-class Trained:
-    automaton: Automaton
-    counts: DataFrame  # word, n: all words of the training texts
-    grams: DataFrame  # gram, context, lower, length, n: all pairs and triples of the training texts, and of `also` with n 0
-    threshold: int  # words from this count on are in the automaton
-    train_tokens: int
-    documents: int
-    denominator: float
-
-
-def train(texts: DataFrame, also: DataFrame | None = None) -> Trained:
-    """`texts`: one column, text. `also`: texts that aren't learned from, whose n-grams are named beforehand."""
-    partial = map_batches(texts, _word_counts, "word binary, n long")
-    counts = stored(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    documents = texts.count()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"] + documents, total["v"] + (documents > 0)
-    denominator = n + ADDED * (v + 1)
-    at = _threshold(counts, VOCABULARY)
-    known = sorted(((r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= at).toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    words = [END, *(w for _, w in known)]
-    size = np.array([documents, *(c for c, _ in known)], dtype=float)
-    model = Automaton(words, np.log10((size + ADDED) / denominator))
-    seen = texts.select("text", F.lit(1).alias("times"))
-    if also is not None:
-        seen = seen.unionByName(also.select("text", F.lit(0).alias("times")))
-    return Trained(model, counts, stored(gram_counts(seen), "grams"), at, int(n), documents, denominator)
-
-
-def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, *body in zip(*(b[c].to_pylist() for c in ("chunk", "words", "ids", "lengths", "learned")), strict=True):
+                chunk = chunk_of(*body)
+                grams = Grams.of(chunk)
+                for level, (h, n) in enumerate(zip(grams.hashes(chunk.words, width), (grams.words_n, grams.pairs_n, grams.triples_n), strict=True)):
+                    order = np.argsort(h)
+                    h, n = h[order], n[order]
+                    cut = [*np.searchsorted(h, low).tolist(), len(h)]
+                    full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                    parts = [(k, level, number, pack_sorted(h[cut[k] : cut[k + 1]], int(low[k])), pack(n[cut[k] : cut[k + 1]])) for k in full]
+                    yield _batch(parts, (("bucket", pa.int32()), ("level", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())))
 
-    for b in batches:
-        h = np.array([xxhash.xxh64_intdigest(w, 7) for w in b["word"].to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["n"]], ["gram", "n"])
+    return f
 
 
-def _matched(left: DataFrame, column: str, right: DataFrame, key: str) -> DataFrame:
-    """A left join on complements, which deals both sides anew and lets a hot hash be split."""
-    return left.withColumn("k", F.bitwise_not(column)).join(right.withColumn("k", F.bitwise_not(key)).drop(key), "k", "left").drop("k")
+def _batch(rows: list[tuple], columns: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, columns, strict=True)], [n for n, _ in columns])
 
 
-def probabilities(grams: DataFrame, trained: Trained) -> DataFrame:
-    """gram, p of all pairs and triples."""
-    spark = grams.sparkSession
-    end = spark.createDataFrame([(END, trained.documents)], "word binary, n long")
-    words = map_batches(trained.counts.select("word", "n").unionByName(end), _word_hashes, "gram long, n long")
-    p = words.select("gram", ((F.col("n") + ADDED) / F.lit(trained.denominator)).alias("p"))
-    contexts = grams.groupBy("context").agg(F.sum("n").alias("c"), F.count(F.when(F.col("n") > 0, 1)).alias("types")).where("c > 0")
-    contexts = stored(contexts, "contexts")
-    shorter, out = p, []
-    for length in (2, 3):
-        rows = _matched(grams.where(F.col("length") == length).select("gram", "context", "lower", "n"), "lower", shorter, "gram")
-        rows = _matched(rows.select("gram", "context", "n", "p"), "context", contexts, "context")
-        lower = F.coalesce("p", F.lit(ADDED / trained.denominator))
-        share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * lower
-        shorter = stored(rows.select("gram", F.when(F.col("c") > 0, share / F.col("c")).otherwise(lower).alias("p")), f"probabilities-{length}")
-        out.append(shorter)
-    return out[0].unionByName(out[1])
+ANSWERS = "chunk long, level int, bucket int, seen long, totals binary"
 
 
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, rare array<binary>, grams array<long>, times array<int>"
+def _answers(buckets: int, width: int):
+    """Rows come by bucket and level. `seen`: distinct n-grams of training texts, once for each bucket and level."""
+    low = bounds(buckets, width)
 
+    def answered(key: tuple[int, int], chunks: list[int], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        cut = np.cumsum([len(g) for g in grams])[:-1]
+        h, n = np.concatenate(grams), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        sums = np.add.reduceat(n[order], first)
+        n[order] = np.repeat(sums, np.diff(np.append(first, len(h))))
+        seen = [int((sums > 0).sum())] + [0] * (len(chunks) - 1)
+        rows = [(c, key[1], key[0], s, pack(part)) for c, s, part in zip(chunks, seen, np.split(n, cut), strict=True)]
+        return _batch(rows, (("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("seen", pa.int64()), ("totals", pa.binary())))
 
-def _traversed(shipped: Broadcast, trained: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        ids, start, hashes = model.ids, len(model.words), Hashes()
-        serial = TaskContext.get().partitionId() << 40
+        at: tuple[int, int] | None = None
+        held: tuple[list, list, list] = [], [], []
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                x, words = _numbered(ids, start, text)
-                inside = x[1:] >= 0
-                rare = [words[i] for i in np.flatnonzero(~inside)]
-                known = int(inside.sum()) - (not trained)
-                _, pairs, triples = hashed(hashes, text)
-                grams, times = np.unique(np.append(pairs[:1], triples), return_counts=True)
-                rows.append((serial, doc, len(inside), known, float(model.log_probability(x).sum()), rare, grams.view(np.int64), times.astype(np.int32)))
-                serial += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "doc_id", "n_tokens", "known", "base", "rare", "grams", "times"])
+            for bucket, level, chunk, grams, counts in zip(*(b[c].to_pylist() for c in ("bucket", "level", "chunk", "grams", "counts")), strict=True):
+                if at is not None and (bucket, level) != at:
+                    yield answered(at, *held)
+                    held = [], [], []
+                at = bucket, level
+                held[0].append(chunk)
+                held[1].append(unpack_sorted(grams, int(low[bucket])))
+                held[2].append(unpack(counts))
+        if at is not None:
+            yield answered(at, *held)
 
     return f
 
 
-def scored(docs: DataFrame, trained: Trained, named: bool = False) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+# The automaton
+
+
+@dataclass(frozen=True)
+class Smoothing:
+    """What all chunks share. passed_on[k]: shares of contexts of k + 1 words, by power of two below their counts."""
+
+    train_tokens: int
+    train_texts: int
+    vocabulary: int
+    passed_on: tuple[tuple[float, ...], tuple[float, ...]]
+
+    @property
+    def denominator(self) -> float:
+        return self.train_tokens + ADDED * (self.vocabulary + 1)
+
+
+def passed_on(left_out: np.ndarray) -> tuple[float, ...]:
+    """A class without training words takes the share of the class below."""
+    out, last = [], 0.9
+    for words, once in left_out.T.tolist():
+        last = (once + 1) / (words + 2) if words else last
+        out.append(last)
+    return tuple(out)
 
-    `named`: training has named all n-grams of docs.
+
+class Automaton:
+    """Backoff automaton of a chunk's texts.
+
+    States: the pairs (by number), then the words and the beginning, then the root. An arc's weight and a failure's
+    are log10 probabilities.
     """
-    grams = trained.grams
-    if not named:
-        grams = stored(_summed(grams.unionByName(gram_counts(docs.select("text", F.lit(0).alias("times"))))), "grams")
-    weights = probabilities(grams, trained)
-    shipped = docs.sparkSession.sparkContext.broadcast(trained.automaton)
-    rows = stored(map_batches(docs.select("doc_id", "text"), _traversed(shipped, trained.train_tokens > 0), SCORED), "traversed")
-    shipped.destroy()
-    rare = rows.select("row", F.explode("rare").alias("word"))
-    table_ = trained.counts.where(F.col("n") < trained.threshold)
-    found = rare.join(table_, "word", "left")
-    weight = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(trained.denominator))
-    sums = found.groupBy("row").agg(F.sum(weight).alias("more"), F.count("n").alias("more_known"))
-    read = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("at")).select("row", "at.grams", "at.times")
-    scores = _matched(read, "grams", weights, "gram").groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("score"))
-    out = rows.drop("rare", "grams", "times").join(sums, "row", "left").join(scores, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(trained.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        "score",
-    )
+
+    def __init__(self, grams: Grams, start: int, n: list[np.ndarray], s: Smoothing):
+        words, pairs, triples = n
+        self.bits, self.start, self.pairs, self.triples = np.uint64(grams.bits), start, grams.pairs, grams.triples
+        self.n_pairs, self.root = len(pairs), len(pairs) + start + 1
+        word_p = (words + ADDED) / s.denominator
+        context = np.append(words, s.train_texts)
+        a, b = grams.split(grams.pairs)
+        share = self._share(context, s.passed_on[0])
+        pair_p = (1 - share[a]) * pairs / np.maximum(context[a], 1) + share[a] * word_p[b]
+        p, c = grams.split(grams.triples)
+        #: The pair that a triple ends with; its beginning can't be that of a text, so it is among the pairs.
+        ends = np.searchsorted(grams.pairs, b[p].astype(np.uint64) << self.bits | c.astype(np.uint64))
+        pair_share = self._share(pairs, s.passed_on[1])
+        triple_p = (1 - pair_share[p]) * triples / np.maximum(pairs[p], 1) + pair_share[p] * pair_p[ends]
+        with np.errstate(divide="ignore"):
+            self.word_weight, self.pair_weight, self.triple_weight = np.log10(word_p), np.log10(pair_p), np.log10(triple_p)
+            self.failure = np.log10(np.concatenate([pair_share, share]))
+        self.seen_pair, self.seen_triple = pairs > 0, triples > 0
+        self.triple_to = ends
+        self.word_to = np.where(words > 0, self.n_pairs + np.arange(len(words)), self.root)
+        self.second = b
+        self.begin = self.n_pairs + start if s.train_texts else self.root
+
+    @staticmethod
+    def _share(counts: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+        return np.where(counts > 0, np.array(shares)[power_of_two(np.maximum(counts, 1))], 1.0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each state along the arc of its word, over failure arcs where it has none: weights and new states."""
+        weight, to = np.zeros(len(state)), np.full(len(state), -1)
+        key = word.astype(np.uint64)
+        now = state
+        # States of two words.
+        at = np.flatnonzero(now < self.n_pairs)
+        if len(at):
+            arc = np.searchsorted(self.triples, now[at].astype(np.uint64) << self.bits | key[at])
+            has = self.seen_triple[arc]
+            weight[at] += np.where(has, self.triple_weight[arc], self.failure[now[at]])
+            to[at[has]] = self.triple_to[arc[has]]
+            now = now.copy()
+            now[at] = self.n_pairs + self.second[now[at]]
+        # States of one word.
+        at = np.flatnonzero((to < 0) & (now < self.root))
+        if len(at):
+            one = now[at] - self.n_pairs
+            arc = np.searchsorted(self.pairs, one.astype(np.uint64) << self.bits | key[at])
+            has = self.seen_pair[arc]
+            weight[at] += np.where(has, self.pair_weight[arc], self.failure[now[at]])
+            to[at[has]] = arc[has]
+        # The root has an arc for every word.
+        at = np.flatnonzero(to < 0)
+        weight[at] += self.word_weight[word[at]]
+        to[at] = self.word_to[word[at]]
+        return weight, to
+
+    def read(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text, read from left to right, all lanes at once."""
+        begin = np.cumsum(lengths) - lengths
+        lanes = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), lanes)
+        cut = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        early = np.where(cut > 0, 2, 0)
+        at, steps = begin[text] + cut - early, np.minimum(lengths[text] - cut, LANE) + early
+        order = np.argsort(-steps, kind="stable")
+        at, steps, early, text = at[order], steps[order], early[order], text[order]
+        state = np.where(early > 0, self.root, self.begin)
+        total = np.zeros(len(text))
+        open_lanes = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), side="left")
+        for k, m in enumerate(open_lanes.tolist()):
+            weight, state[:m] = self.step(state[:m], ids[at[:m] + k])
+            total[:m] += np.where(k < early[:m], 0.0, weight)
+        return np.bincount(text, weights=total, minlength=len(lengths))
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(width: int, smoothing: Smoothing):
+    """Rows come by chunk: the chunk, then its answers by level and bucket, which is the order of the hashes."""
+
+    def scored_chunk(body: list, docs: list, totals: list[list[np.ndarray]]) -> pa.RecordBatch:
+        chunk = chunk_of(*body)
+        grams = Grams.of(chunk)
+        n = []
+        for h, parts in zip(grams.hashes(chunk.words, width), totals, strict=True):
+            level = np.empty(len(h), dtype=np.int64)
+            level[np.argsort(h)] = np.concatenate([*parts, np.empty(0, dtype=np.uint64)]).astype(np.int64)
+            n.append(level)
+        automaton = Automaton(grams, chunk.start, n, smoothing)
+        ids = chunk.ids.astype(np.int64)
+        text = np.repeat(np.arange(len(docs)), chunk.lengths)
+        base = np.bincount(text, weights=automaton.word_weight[ids], minlength=len(docs))
+        known = np.bincount(text, weights=n[0][ids] > 0, minlength=len(docs)).astype(np.int64)
+        cols = (pa.array(docs, pa.int64()), pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(automaton.read(ids, chunk.lengths)))
+        return pa.RecordBatch.from_arrays(list(cols), ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b[c][i].as_py() for c in b.schema.names}
+                if row["bucket"] < 0:
+                    if held is not None:
+                        yield scored_chunk(*held)
+                    held = [row[c] for c in ("words", "ids", "lengths", "learned")], row["docs"], [[], [], []]
+                else:
+                    held[2][row["level"]].append(unpack(row["totals"]))
+        if held is not None:
+            yield scored_chunk(*held)
+
+    return f
+
+
+def scored(docs: DataFrame, learned: str = "learned", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text, and whether it is learned from)."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("learned"))
+    chunks = stored(map_batches(rows, _chunks(chunk_tokens), CHUNKS), "chunks")
+    sizes = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train_tokens", "train_texts"))).first()
+    left_out = np.zeros(4 * CLASSES)
+    for r in chunks.select(F.posexplode("left_out").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        left_out[r["at"]] = r["n"]
+    width = min(64, max(1, 2 * sizes["tokens"]).bit_length() + SPARE_BITS)
+    partitions = partitions_for(spark)
+    buckets = max(partitions, -(-sizes["tokens"] // BUCKET_TOKENS))
+    named = map_batches(chunks.select("chunk", "words", "ids", "lengths", "learned"), _requests(buckets, width), REQUESTS)
+    dealt = named.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "level", "chunk")
+    answers = stored(map_batches(dealt, _answers(buckets, width), ANSWERS), "answers")
+    vocabulary = answers.where("level = 0").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first()["n"]
+    shares = left_out.reshape(2, 2, CLASSES)
+    smoothing = Smoothing(int(sizes["train_tokens"]), int(sizes["train_texts"]), int(vocabulary), (passed_on(shares[0]), passed_on(shares[1])))
+    bodies = chunks.select("chunk", F.lit(0).alias("level"), F.lit(-1).alias("bucket"), "words", "ids", "lengths", "learned", "docs")
+    both = bodies.unionByName(answers.select("chunk", "level", "bucket", "totals"), allowMissingColumns=True)
+    home = F.pmod((F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(2**32 - 1)), F.lit(partitions)).cast("int")
+    together = both.repartitionById(partitions, home).sortWithinPartitions("chunk", "level", "bucket")
+    out = map_batches(together, _scores(width, smoothing), SCORED)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(smoothing.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of("doc_id", FOLDS) == HELD_OUT
-    trained = train(docs.where(~held_out).select("text"), docs.where(held_out).select("text"))
-    out = scored(docs, trained, named=True)
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("learned"))
+    return scored(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
