@@ -107,26 +107,30 @@ class Chunk:
         """The number of the beginning, which is no word."""
         return len(self.words)
 
-    def begun(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers with a beginning before each text; the places of all tokens; of those from the second of a text on."""
-        begin = np.cumsum(self.lengths) - self.lengths + np.arange(len(self.lengths))
-        y = np.empty(len(self.ids) + len(self.lengths), dtype=np.uint64)
-        token = np.ones(len(y), dtype=bool)
-        token[begin] = False
-        y[token], y[begin] = self.ids, self.start
-        second = token.copy()
-        second[begin + 1] = False
-        return y, np.flatnonzero(token), np.flatnonzero(second)
-
-
-def _distinct(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, rising, and their occurrences in learned texts."""
-    if not len(keys):
-        return keys, np.empty(0, dtype=np.int64)
-    marked = np.sort(keys << np.uint64(1) | learned.astype(np.uint64))
-    keys = marked >> np.uint64(1)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
+
+def in_order(values: np.ndarray, width: int) -> np.ndarray:
+    """The places of values of `width` bits in rising order: sorting value and place as one word is much faster than argsort."""
+    room = len(values).bit_length()
+    cut = np.uint64(max(0, width + room - 64))
+    word = np.sort((values >> cut) << np.uint64(room) | np.arange(len(values), dtype=np.uint64))
+    order = (word & ((np.uint64(1) << np.uint64(room)) - np.uint64(1))).astype(np.int64)
+    if cut:
+        now = values[order]
+        if (now[1:] < now[:-1]).any():
+            order = order[np.argsort(now, kind="stable")]
+    return order
+
+
+def _distinct(keys: np.ndarray, width: int, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, rising; their occurrences in learned texts; the number of each key given."""
+    order = in_order(keys, width)
+    ranked = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    distinct = ranked[new]
+    return distinct, np.bincount(number[learned], minlength=len(distinct)), number
 
 
 @dataclass
@@ -134,30 +138,35 @@ class Grams:
     """The distinct n-grams of a chunk with their occurrences in its learned texts.
 
     pairs: first word << bits | second word; triples: number of the first pair << bits | last word. Both rise.
+    pair_at, triple_at: for each token the number of the pair and triple that it ends; -1 for a text's first token, which
+    ends no triple.
     """
 
     bits: int
     words_n: np.ndarray
     pairs: np.ndarray
     pairs_n: np.ndarray
+    pair_at: np.ndarray
     triples: np.ndarray
     triples_n: np.ndarray
+    triple_at: np.ndarray
 
     @classmethod
     def of(cls, chunk: Chunk) -> Grams:
-        y, at1, at2 = chunk.begun()
-        taught = np.repeat(chunk.learned, chunk.lengths + 1)
         bits = np.uint64(chunk.bits)
-        words_n = np.bincount(chunk.ids[np.repeat(chunk.learned, chunk.lengths)].astype(np.int64), minlength=len(chunk.words))
-        pairs, pairs_n = _distinct(y[at1 - 1] << bits | y[at1], taught[at1])
-        if 3 * chunk.bits < 64:
-            triples, triples_n = _distinct((y[at2 - 2] << bits | y[at2 - 1]) << bits | y[at2], taught[at2])
-            first = np.searchsorted(pairs, triples >> bits).astype(np.uint64)
-            triples = first << bits | triples & ((np.uint64(1) << bits) - np.uint64(1))
-        else:
-            first = np.searchsorted(pairs, y[at2 - 2] << bits | y[at2 - 1]).astype(np.uint64)
-            triples, triples_n = _distinct(first << bits | y[at2], taught[at2])
-        return cls(chunk.bits, words_n, pairs, pairs_n, triples, triples_n)
+        first = np.cumsum(chunk.lengths) - chunk.lengths
+        taught = np.repeat(chunk.learned, chunk.lengths)
+        words_n = np.bincount(chunk.ids[taught].astype(np.int64), minlength=len(chunk.words))
+        before = np.roll(chunk.ids, 1)
+        before[first] = chunk.start
+        pairs, pairs_n, pair_at = _distinct(before << bits | chunk.ids, 2 * chunk.bits, taught)
+        later = np.ones(len(chunk.ids), dtype=bool)
+        later[first] = False
+        context = np.roll(pair_at, 1)[later].astype(np.uint64)
+        triples, triples_n, number = _distinct(context << bits | chunk.ids[later], len(pairs).bit_length() + chunk.bits, taught[later])
+        triple_at = np.full(len(chunk.ids), -1)
+        triple_at[later] = number
+        return cls(chunk.bits, words_n, pairs, pairs_n, pair_at, triples, triples_n, triple_at)
 
     def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = np.uint64(self.bits)
@@ -171,7 +180,7 @@ class Grams:
         p, c = self.split(self.triples)
         return [h >> np.uint64(64 - width) for h in (words[:-1], pairs, _extended(pairs[p], words[c]))]
 
-    def left_out(self, start: int, learned_texts: int) -> np.ndarray:
+    def left_out(self, learned_texts: int) -> np.ndarray:
         """By n-gram length (2, 3) and power of two below the context's count less one: training words, and those met once."""
         out = np.zeros((2, 2, CLASSES))
         context = np.append(self.words_n, learned_texts)
@@ -188,7 +197,7 @@ def power_of_two(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(n.astype(float))[1] - 1, CLASSES - 1)
 
 
-CHUNKS = "chunk long, tokens long, train_tokens long, train_texts long, left_out array<double>, words binary, ids binary, lengths binary, learned binary, docs array<long>"
+CHUNKS = "chunk long, tokens long, train_tokens long, train_texts long, words binary, ids binary, lengths binary, learned binary, docs array<long>"
 
 
 def _chunks(most: int):
@@ -208,11 +217,9 @@ def _chunks(most: int):
             place[order] = np.arange(len(order), dtype=np.uint64)
             words = np.fromiter(map(word_hash, numbers), dtype=np.uint64, count=len(numbers))[order]
             lengths, learned = np.array([len(i) for i in ids]), np.array([d[1] for d in docs])
-            chunk = Chunk(words, place[x], lengths, learned)
-            left_out = Grams.of(chunk).left_out(chunk.start, int(learned.sum())).ravel().tolist()
-            row = [serial, len(x), int(lengths[learned].sum()), int(learned.sum()), left_out, words.tobytes(), pack(chunk.ids), pack(lengths), pack(learned), [d[0] for d in docs]]
-            kinds = (*[pa.int64()] * 4, pa.list_(pa.float64()), *[pa.binary()] * 4, pa.list_(pa.int64()))
-            names = ["chunk", "tokens", "train_tokens", "train_texts", "left_out", "words", "ids", "lengths", "learned", "docs"]
+            row = [serial, len(x), int(lengths[learned].sum()), int(learned.sum()), words.tobytes(), pack(place[x]), pack(lengths), pack(learned), [d[0] for d in docs]]
+            kinds = (*[pa.int64()] * 4, *[pa.binary()] * 4, pa.list_(pa.int64()))
+            names = ["chunk", "tokens", "train_tokens", "train_texts", "words", "ids", "lengths", "learned", "docs"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for b in batches:
@@ -245,6 +252,8 @@ def bounds(buckets: int, width: int) -> np.ndarray:
 
 
 REQUESTS = "bucket int, level int, chunk long, grams binary, counts binary"
+#: The level of a chunk's numbers for the smoothing, which go to one bucket beside its n-grams.
+LEFT_OUT = 3
 
 
 def _requests(buckets: int, width: int):
@@ -255,13 +264,15 @@ def _requests(buckets: int, width: int):
             for number, *body in zip(*(b[c].to_pylist() for c in ("chunk", "words", "ids", "lengths", "learned")), strict=True):
                 chunk = chunk_of(*body)
                 grams = Grams.of(chunk)
+                columns = (("bucket", pa.int32()), ("level", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()))
+                yield _batch([(number % buckets, LEFT_OUT, number, None, grams.left_out(int(chunk.learned.sum())).tobytes())], columns)
                 for level, (h, n) in enumerate(zip(grams.hashes(chunk.words, width), (grams.words_n, grams.pairs_n, grams.triples_n), strict=True)):
-                    order = np.argsort(h)
+                    order = in_order(h, width)
                     h, n = h[order], n[order]
                     cut = [*np.searchsorted(h, low).tolist(), len(h)]
                     full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
                     parts = [(k, level, number, pack_sorted(h[cut[k] : cut[k + 1]], int(low[k])), pack(n[cut[k] : cut[k + 1]])) for k in full]
-                    yield _batch(parts, (("bucket", pa.int32()), ("level", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())))
+                    yield _batch(parts, columns)
 
     return f
 
@@ -271,24 +282,27 @@ def _batch(rows: list[tuple], columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, columns, strict=True)], [n for n, _ in columns])
 
 
-ANSWERS = "chunk long, level int, bucket int, seen long, totals binary"
+ANSWERS = "chunk long, level int, bucket int, seen long, totals binary, left_out array<double>"
 
 
 def _answers(buckets: int, width: int):
     """Rows come by bucket and level. `seen`: distinct n-grams of training texts, once for each bucket and level."""
     low = bounds(buckets, width)
+    columns = (("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("seen", pa.int64()), ("totals", pa.binary()), ("left_out", pa.list_(pa.float64())))
 
     def answered(key: tuple[int, int], chunks: list[int], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        if key[1] == LEFT_OUT:
+            return _batch([(None, LEFT_OUT, key[0], 0, None, np.sum(counts, axis=0).tolist())], columns)
         cut = np.cumsum([len(g) for g in grams])[:-1]
         h, n = np.concatenate(grams), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(h)
+        order = in_order(h, width)
         h = h[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         sums = np.add.reduceat(n[order], first)
         n[order] = np.repeat(sums, np.diff(np.append(first, len(h))))
         seen = [int((sums > 0).sum())] + [0] * (len(chunks) - 1)
-        rows = [(c, key[1], key[0], s, pack(part)) for c, s, part in zip(chunks, seen, np.split(n, cut), strict=True)]
-        return _batch(rows, (("chunk", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("seen", pa.int64()), ("totals", pa.binary())))
+        rows = [(c, key[1], key[0], s, pack(part), None) for c, s, part in zip(chunks, seen, np.split(n, cut), strict=True)]
+        return _batch(rows, columns)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
@@ -300,8 +314,11 @@ def _answers(buckets: int, width: int):
                     held = [], [], []
                 at = bucket, level
                 held[0].append(chunk)
-                held[1].append(unpack_sorted(grams, int(low[bucket])))
-                held[2].append(unpack(counts))
+                if level == LEFT_OUT:
+                    held[2][:] = [sum((np.frombuffer(counts), *held[2]))]
+                else:
+                    held[1].append(unpack_sorted(grams, int(low[bucket])))
+                    held[2].append(unpack(counts))
         if at is not None:
             yield answered(at, *held)
 
@@ -338,65 +355,63 @@ class Automaton:
     """Backoff automaton of a chunk's texts.
 
     States: the pairs (by number), then the words and the beginning, then the root. An arc's weight and a failure's
-    are log10 probabilities.
+    are log10 probabilities. Where the arcs that a token can follow lie, by the two words before it, by one and by none,
+    was found when the chunk's n-grams were numbered; which of them a traversal follows its state tells.
     """
 
     def __init__(self, grams: Grams, start: int, n: list[np.ndarray], s: Smoothing):
         words, pairs, triples = n
-        self.bits, self.start, self.pairs, self.triples = np.uint64(grams.bits), start, grams.pairs, grams.triples
         self.n_pairs, self.root = len(pairs), len(pairs) + start + 1
         word_p = (words + ADDED) / s.denominator
         context = np.append(words, s.train_texts)
         a, b = grams.split(grams.pairs)
         share = self._share(context, s.passed_on[0])
         pair_p = (1 - share[a]) * pairs / np.maximum(context[a], 1) + share[a] * word_p[b]
-        p, c = grams.split(grams.triples)
-        #: The pair that a triple ends with; its beginning can't be that of a text, so it is among the pairs.
-        ends = np.searchsorted(grams.pairs, b[p].astype(np.uint64) << self.bits | c.astype(np.uint64))
+        p, _ = grams.split(grams.triples)
+        #: The pair that a triple ends with.
+        self.triple_to = np.empty(len(triples), dtype=np.int64)
+        later = grams.triple_at >= 0
+        self.triple_to[grams.triple_at[later]] = grams.pair_at[later]
         pair_share = self._share(pairs, s.passed_on[1])
-        triple_p = (1 - pair_share[p]) * triples / np.maximum(pairs[p], 1) + pair_share[p] * pair_p[ends]
+        triple_p = (1 - pair_share[p]) * triples / np.maximum(pairs[p], 1) + pair_share[p] * pair_p[self.triple_to]
         with np.errstate(divide="ignore"):
             self.word_weight, self.pair_weight, self.triple_weight = np.log10(word_p), np.log10(pair_p), np.log10(triple_p)
             self.failure = np.log10(np.concatenate([pair_share, share]))
         self.seen_pair, self.seen_triple = pairs > 0, triples > 0
-        self.triple_to = ends
         self.word_to = np.where(words > 0, self.n_pairs + np.arange(len(words)), self.root)
-        self.second = b
+        self.shorter = self.n_pairs + b
         self.begin = self.n_pairs + start if s.train_texts else self.root
 
     @staticmethod
     def _share(counts: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
         return np.where(counts > 0, np.array(shares)[power_of_two(np.maximum(counts, 1))], 1.0)
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def step(self, state: np.ndarray, triple: np.ndarray, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state along the arc of its word, over failure arcs where it has none: weights and new states."""
-        weight, to = np.zeros(len(state)), np.full(len(state), -1)
-        key = word.astype(np.uint64)
-        now = state
+        weight, to = np.zeros(len(state)), np.empty(len(state), dtype=np.int64)
         # States of two words.
-        at = np.flatnonzero(now < self.n_pairs)
-        if len(at):
-            arc = np.searchsorted(self.triples, now[at].astype(np.uint64) << self.bits | key[at])
-            has = self.seen_triple[arc]
-            weight[at] += np.where(has, self.triple_weight[arc], self.failure[now[at]])
-            to[at[has]] = self.triple_to[arc[has]]
-            now = now.copy()
-            now[at] = self.n_pairs + self.second[now[at]]
+        two = np.flatnonzero(state < self.n_pairs)
+        has = self.seen_triple[triple[two]]
+        at, arc = two[has], triple[two[has]]
+        weight[at], to[at] = self.triple_weight[arc], self.triple_to[arc]
+        failed = two[~has]
+        weight[failed] = self.failure[state[failed]]
         # States of one word.
-        at = np.flatnonzero((to < 0) & (now < self.root))
-        if len(at):
-            one = now[at] - self.n_pairs
-            arc = np.searchsorted(self.pairs, one.astype(np.uint64) << self.bits | key[at])
-            has = self.seen_pair[arc]
-            weight[at] += np.where(has, self.pair_weight[arc], self.failure[now[at]])
-            to[at[has]] = arc[has]
+        one = np.append(failed, np.flatnonzero((state >= self.n_pairs) & (state < self.root)))
+        shorter = np.append(self.shorter[state[failed]], state[one[len(failed) :]])
+        has = self.seen_pair[pair[one]]
+        at, arc = one[has], pair[one[has]]
+        weight[at] += self.pair_weight[arc]
+        to[at] = arc
+        failed = one[~has]
+        weight[failed] += self.failure[shorter[~has]]
         # The root has an arc for every word.
-        at = np.flatnonzero(to < 0)
+        at = np.append(failed, np.flatnonzero(state == self.root))
         weight[at] += self.word_weight[word[at]]
         to[at] = self.word_to[word[at]]
         return weight, to
 
-    def read(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def read(self, grams: Grams, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The log10 probability of each text, read from left to right, all lanes at once."""
         begin = np.cumsum(lengths) - lengths
         lanes = -(-lengths // LANE)
@@ -410,7 +425,8 @@ class Automaton:
         total = np.zeros(len(text))
         open_lanes = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), side="left")
         for k, m in enumerate(open_lanes.tolist()):
-            weight, state[:m] = self.step(state[:m], ids[at[:m] + k])
+            here = at[:m] + k
+            weight, state[:m] = self.step(state[:m], grams.triple_at[here], grams.pair_at[here], ids[here])
             total[:m] += np.where(k < early[:m], 0.0, weight)
         return np.bincount(text, weights=total, minlength=len(lengths))
 
@@ -427,14 +443,14 @@ def _scores(width: int, smoothing: Smoothing):
         n = []
         for h, parts in zip(grams.hashes(chunk.words, width), totals, strict=True):
             level = np.empty(len(h), dtype=np.int64)
-            level[np.argsort(h)] = np.concatenate([*parts, np.empty(0, dtype=np.uint64)]).astype(np.int64)
+            level[in_order(h, width)] = np.concatenate([*parts, np.empty(0, dtype=np.uint64)]).astype(np.int64)
             n.append(level)
         automaton = Automaton(grams, chunk.start, n, smoothing)
         ids = chunk.ids.astype(np.int64)
         text = np.repeat(np.arange(len(docs)), chunk.lengths)
         base = np.bincount(text, weights=automaton.word_weight[ids], minlength=len(docs))
         known = np.bincount(text, weights=n[0][ids] > 0, minlength=len(docs)).astype(np.int64)
-        cols = (pa.array(docs, pa.int64()), pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(automaton.read(ids, chunk.lengths)))
+        cols = (pa.array(docs, pa.int64()), pa.array(chunk.lengths), pa.array(known), pa.array(base), pa.array(automaton.read(grams, ids, chunk.lengths)))
         return pa.RecordBatch.from_arrays(list(cols), ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,20 +476,20 @@ def scored(docs: DataFrame, learned: str = "learned", chunk_tokens: int = CHUNK_
     rows = docs.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("learned"))
     chunks = stored(map_batches(rows, _chunks(chunk_tokens), CHUNKS), "chunks")
     sizes = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train_tokens", "train_texts"))).first()
-    left_out = np.zeros(4 * CLASSES)
-    for r in chunks.select(F.posexplode("left_out").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
-        left_out[r["at"]] = r["n"]
     width = min(64, max(1, 2 * sizes["tokens"]).bit_length() + SPARE_BITS)
     partitions = partitions_for(spark)
     buckets = max(partitions, -(-sizes["tokens"] // BUCKET_TOKENS))
     named = map_batches(chunks.select("chunk", "words", "ids", "lengths", "learned"), _requests(buckets, width), REQUESTS)
     dealt = named.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "level", "chunk")
     answers = stored(map_batches(dealt, _answers(buckets, width), ANSWERS), "answers")
+    left_out = np.zeros(4 * CLASSES)
+    for r in answers.where(F.col("level") == LEFT_OUT).select(F.posexplode("left_out").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        left_out[r["at"]] = r["n"]
     vocabulary = answers.where("level = 0").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first()["n"]
     shares = left_out.reshape(2, 2, CLASSES)
     smoothing = Smoothing(int(sizes["train_tokens"]), int(sizes["train_texts"]), int(vocabulary), (passed_on(shares[0]), passed_on(shares[1])))
     bodies = chunks.select("chunk", F.lit(0).alias("level"), F.lit(-1).alias("bucket"), "words", "ids", "lengths", "learned", "docs")
-    both = bodies.unionByName(answers.select("chunk", "level", "bucket", "totals"), allowMissingColumns=True)
+    both = bodies.unionByName(answers.where(F.col("level") < LEFT_OUT).select("chunk", "level", "bucket", "totals"), allowMissingColumns=True)
     home = F.pmod((F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(2**32 - 1)), F.lit(partitions)).cast("int")
     together = both.repartitionById(partitions, home).sortWithinPartitions("chunk", "level", "bucket")
     out = map_batches(together, _scores(width, smoothing), SCORED)
