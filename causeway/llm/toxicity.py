@@ -112,11 +112,13 @@ def grammar() -> dict[tuple[int, str], tuple[int, frozenset[str]]]:
 class Lexicon(dict):
     """Word as it stands in a text -> (class, weight, ends a clause); OTHER words map to None."""
 
-    REMEMBERED = 400_000
+    #: Bytes of words remembered; a word takes some 120 besides its letters.
+    REMEMBERED = 16 << 20
 
     def __init__(self, insults: dict[str, float]):
         self.insults = insults
         self.closed = {w: c for c, words in CLASSES.items() for w in words.split()}
+        self.room = self.REMEMBERED
 
     def __missing__(self, word: str):
         bare = word.strip(EDGE)
@@ -126,12 +128,12 @@ class Lexicon(dict):
             found = INSULT, weight
         elif bare in self.closed:
             found = self.closed[bare], THREAT_WEIGHT if self.closed[bare] == THREAT else 0.0
-        if len(self) < self.REMEMBERED and len(word) < 64:
+        if len(word) < 64 and self.room > 0:
             self[word] = found
+            self.room -= len(word) + 120
         return found
 
 
-
 def features(text: str | None, lexicon: Lexicon, arcs) -> np.ndarray:
     """Strongest plain, targeted and set-apart clause, total evidence, and matched clauses."""
     out = np.zeros(FEATURES)
@@ -197,6 +199,7 @@ def _occurrences(wanted: frozenset[str]):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[str, ...]] = {}
+        room = Lexicon.REMEMBERED
         for b in batches:
             counts: dict[str, int] = defaultdict(int)
             for text in b["text"].to_pylist():
@@ -204,8 +207,9 @@ def _occurrences(wanted: frozenset[str]):
                     found = seen.get(word)
                     if found is None:
                         found = tuple(x for x in word_features(word.strip(EDGE)) if x in wanted)
-                        if len(seen) < 300_000:
+                        if room > 0:
                             seen[word] = found
+                            room -= len(word) + 160
                     for x in found:
                         counts[x] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
