@@ -2,10 +2,12 @@
 
 1. Tokenize; cut only documents over the sequence length; one row per piece.
 2. Histogram of piece lengths: at most SEQUENCE_LENGTH bins, whatever the corpus.
-3. Enumerate patterns of one to three lengths that fill a sequence (lengths on a geometric grid, whose
-   representatives are the bins' upper ends), fit repeat counts to the histogram by NNLS, round down, and
-   realise each repeat with the longest pieces that the pattern's grid cells still hold.
-4. Residual pieces are packed best-fit decreasing, also on the histogram.
+3. Enumerate patterns of one to three lengths that can fill a sequence (as cells of a grid of lengths), fit
+   repeat counts to the histogram by NNLS, round down, and
+   realise each repeat by lengths of the pattern's grid cells, longest first, that leave no token free. Repeats
+   without such lengths go to the residual; of the others all or a share are kept, as the residual packs best.
+4. Residual pieces are packed best-fit decreasing, also on the histogram. Should all pieces packed that way need
+   fewer sequences than any fit with its residual, that plan is taken.
 5. The plan is a table of ranges "the r-th to s-th piece of length L go to sequences from q, at offset o".
    Its size depends on the number of different lengths only, so it is small enough to ship to every task.
 6. Pieces of a length are numbered in two levels (length, then a hash bucket of the id), so that one very
@@ -20,13 +22,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,20 +40,41 @@ SEQUENCE_LENGTH = 4096
 END_ID = 1
 #: Cells of the length grid that patterns are made of; NNLS solves for patterns over these.
 GRID = 40
-#: Words whose ids a worker remembers; the rest are tokenized each time they occur.
-REMEMBERED = 400_000
+#: Bytes of stretches whose ids a worker remembers; others are tokenized for each slice that has them. A stretch takes
+#: some STRETCH_BYTES besides its letters.
+REMEMBERED = 32 << 20
+STRETCH_BYTES = 160
 LONGEST_REMEMBERED = 64
+#: Characters of texts that are looked up together.
+SLICE_CHARS = 1 << 20
+#: Marks after letters that are a pretoken of their own.
+CLOSING = ".,;:!?"
+#: Shares of the fitted repeats that are tried, the last being best fit decreasing alone.
+KEPT_SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Pieces of one length are numbered in at least this many groups.
 NUMBERING_BUCKETS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Stretches(dict):
+    """Stretch between white space -> number, in order of appearance; those without one yet are listed in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        n = self[stretch] = len(self)
+        self.new.append(stretch)
+        return n
+
+
 class WordIds:
     """Ids of texts, as little-endian 32-bit bytes, by look-up of the stretches between white space.
 
     The vocabulary drops white space before merging, so the ids of a text are those of its stretches in order.
     Letters and the closing marks after them are pretokens of their own; new runs of letters are given to the
-    tokenizer many at once, and the ids that end a word tell them apart again.
+    tokenizer many at once, and the ids that end a word tell them apart again. Texts are taken in slices; what a worker
+    remembers between slices is bounded by REMEMBERED bytes.
     """
 
     def __init__(self, path: str):
@@ -65,48 +89,113 @@ class WordIds:
         self.closes[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         #: str.split() also cuts at these, the vocabulary doesn't.
         self.odd = re.compile("[\x1c-\x1f]")
-        #: A capital dotted I becomes two characters in lower case, of which the second joins what follows.
-        self.tail = regex.compile(r"([^\P{L}\u0130]+)([.,;:!?]*)")
-        self.known: dict[str, bytes] = {}
+        self.numbers = Stretches()
+        self.held = 0
+        #: The ids of all remembered stretches in one array, and how many each has.
+        self.pool, self.sizes = np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode_each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def letters(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs of letters, by one call."""
+    def letters(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of letters, one after another, and how many each has; by one call."""
         if not runs:
-            return {}
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(runs):
-            return {r: self.encode(r) for r in runs}
-        raw, at = ids.tobytes(), (4 * ends).tolist()
-        return {r: raw[i:j] for r, i, j in zip(runs, [0, *at], at, strict=False)}
-
-    def learn(self, stretches: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
-        for s in stretches:
-            if cut := self.tail.fullmatch(s):
-                parts[s] = cut[1], cut[2]
+            each = self.encode_each(runs)
+            return np.concatenate(each), np.array([len(x) for x in each])
+        return ids, np.diff(ends, prepend=0)
+
+    def learned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches, one after another, and how many each has."""
+        runs: list[str] = []
+        at: list[int] = []
+        marks: dict[str, list[int]] = {}
+        others: list[int] = []
+        for i, s in enumerate(stretches):
+            core = s.rstrip(CLOSING)
+            # A capital dotted I becomes two characters in lower case, of which the second joins what follows.
+            if core.isalpha() and "\u0130" not in core:
+                runs.append(core)
+                at.append(i)
+                if len(core) < len(s):
+                    marks.setdefault(s[len(core) :], []).append(i)
             else:
-                self.known[s] = self.encode(s)
-        of = self.letters(list({a for a, _ in parts.values()}))
-        marks = {m: self.encode(m) for m in {m for _, m in parts.values()}}
-        for s, (a, m) in parts.items():
-            self.known[s] = of[a] + marks[m]
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and self.odd.search(t) else t.split() if t else [] for t in texts]
-        new = set().union(*(w for w in split if w)) - self.known.keys()
-        room = REMEMBERED - len(self.known)
-        self.learn(new)
-        get = self.known.__getitem__
-        out = [self.encode(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
-        for n, s in enumerate(new):
-            if n >= room or len(s) > LONGEST_REMEMBERED:
-                del self.known[s]
+                others.append(i)
+        ids, sizes = self.letters(runs)
+        before = np.zeros(len(stretches), dtype=np.int64)
+        before[at] = sizes
+        tails = dict(zip(marks, self.encode_each(list(marks)), strict=True))
+        after = np.zeros(len(stretches), dtype=np.int64)
+        for m, where in marks.items():
+            after[where] = len(tails[m])
+        whole = self.encode_each([stretches[i] for i in others])
+        before[others] = [len(x) for x in whole]
+        total = before + after
+        begin = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), dtype="<u4")
+        out[_spread(begin[at], sizes)] = ids
+        if others:
+            out[_spread(begin[others], before[others])] = np.concatenate(whole)
+        for m, where in marks.items():
+            out[(begin + before)[where][:, None] + np.arange(len(tails[m]))] = tails[m]
+        return out, total
+
+    def slice_of(self, split: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts given as their stretches."""
+        numbers = self.numbers
+        counts = np.array([len(w) for w in split], dtype=np.int64)
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        new, numbers.new = numbers.new, []
+        pool, sizes = self.pool, self.sizes
+        if new:
+            ids, n = self.learned(new)
+            pool, sizes = np.concatenate([pool, ids]), np.concatenate([sizes, n])
+        begin = np.cumsum(sizes) - sizes
+        ids = pool[_spread(begin[at], sizes[at])]
+        ends = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(counts))]
+        out = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        keep = 0
+        for s in new:
+            size = len(s) + STRETCH_BYTES
+            if len(s) > LONGEST_REMEMBERED or self.held + size > REMEMBERED:
+                break
+            self.held += size
+            keep += 1
+        for s in new[keep:]:
+            del numbers[s]
+        if keep:
+            self.sizes = sizes[: len(numbers)].copy()
+            self.pool = pool[: int(self.sizes.sum())].copy()
         return out
 
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        split: list[list[str]] = []
+        chars = 0
+        for t in texts:
+            if t and self.odd.search(t):
+                out += self.slice_of(split)
+                out.append(self.encode(t))
+                split, chars = [], 0
+                continue
+            split.append(t.split() if t else [])
+            chars += len(t or "")
+            if chars >= SLICE_CHARS:
+                out += self.slice_of(split)
+                split, chars = [], 0
+        return out + self.slice_of(split)
+
+
+def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... of each i in turn, sizes[i] of them."""
+    return np.arange(int(sizes.sum())) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+
 
 @lru_cache(maxsize=4)
 def words_of_vocabulary(path: str) -> WordIds:
@@ -120,18 +209,17 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _pieces(path: str, limit: int):
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    end = np.array([END_ID], dtype="<u4")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of_vocabulary(path)
         for b in batches:
             rows: list[tuple] = []
             for doc, ids in zip(b["doc_id"].to_pylist(), words.of(b["text"].to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, limit)):
-                    part = ids[4 * start : 4 * (start + limit)]
-                    rows.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
+                ids = np.append(ids, end)
+                for piece, start in enumerate(range(0, len(ids), limit)):
+                    part = ids[start : start + limit]
+                    rows.append((doc, piece, start, len(part), zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -180,19 +268,19 @@ def grid_edges(limit: int, cells: int = GRID) -> np.ndarray:
 
 
 def patterns(edges: np.ndarray, limit: int, depth: int = 3) -> list[tuple[int, ...]]:
-    """Multisets of up to `depth` cells whose upper ends fit, leaving less than the widest cell free."""
-    width = int(np.diff(np.append(0, edges)).max())
+    """Multisets of up to `depth` cells that hold lengths which fill a sequence to the last token."""
+    low = np.append(0, edges[:-1]) + 1
     found: list[tuple[int, ...]] = []
 
-    def extend(prefix: tuple[int, ...], room: int, most: int) -> None:
-        if prefix and (room < width or len(prefix) == depth):
+    def extend(prefix: tuple[int, ...], least: int, most: int, top: int) -> None:
+        if prefix and least <= limit <= most:
             found.append(prefix)
         if len(prefix) < depth:
-            for c in range(most, -1, -1):
-                if edges[c] <= room:
-                    extend((*prefix, c), room - int(edges[c]), c)
+            for c in range(top, -1, -1):
+                if least + low[c] <= limit:
+                    extend((*prefix, c), least + int(low[c]), most + int(edges[c]), c)
 
-    extend((), limit, len(edges) - 1)
+    extend((), 0, 0, len(edges) - 1)
     return found
 
 
@@ -219,23 +307,70 @@ class Plan:
 
 
 def plan_packing(histogram: dict[int, int], limit: int = SEQUENCE_LENGTH) -> Plan:
-    """Where the pieces of each length go. Reads and returns a number of rows that `limit` alone bounds."""
-    plan, left = Plan(limit), {n: c for n, c in histogram.items() if c > 0}
-    if left.get(limit):
-        plan.put([limit], left.pop(limit))
-    _fitted(plan, left, limit)
-    _best_fit(plan, left, limit)
-    return plan
-
-
-def _fitted(plan: Plan, left: dict[int, int], limit: int) -> None:
-    if not left:
-        return
+    """Where the pieces of each length go. Reads and returns a number of rows that `limit` alone bounds.
+
+    The fitted repeats are kept whole or in part, whichever share needs the fewest sequences with its residual; should
+    best fit decreasing alone need fewer than all of them, its plan is taken.
+    """
+    counts = {n: c for n, c in histogram.items() if c > 0}
+    full = counts.pop(limit, 0)
+    shapes = fitted_patterns(counts, limit)
+    best: Plan | None = None
+    fewest = full + -(-sum(n * c for n, c in counts.items()) // limit)
+    for share in KEPT_SHARES:
+        plan, left = Plan(limit), Left(counts)
+        if full:
+            plan.put([limit], full)
+        for shape, repeats in shapes:
+            _realise(plan, left, shape, int(repeats * share), limit)
+        _best_fit(plan, left, limit)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == fewest:  # the total length needs as many
+            break
+    return best
+
+
+class Left:
+    """Pieces still to place, by length."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.count = dict(counts)
+        self.lengths = sorted(counts)
+
+    def longest(self, room: int, need: dict[int, int]) -> int | None:
+        """The longest piece within the room that `need` hasn't taken."""
+        at = bisect_right(self.lengths, room) - 1
+        while at >= 0 and self.count[self.lengths[at]] <= need.get(self.lengths[at], 0):
+            at -= 1
+        return self.lengths[at] if at >= 0 else None
+
+    def close(self, picked: list[int], need: dict[int, int], room: int) -> int:
+        """Fills the room with the longest pieces that still fit; what stays free."""
+        while room > 0 and (n := self.longest(room, need)) is not None:
+            times = min(room // n, self.count[n] - need.get(n, 0))
+            picked += [n] * times
+            need[n] += times
+            room -= n * times
+        return room
+
+    def use(self, plan: Plan, picked: list[int], need: dict[int, int], times: int) -> None:
+        plan.put(picked, times)
+        for n, k in need.items():
+            self.count[n] -= k * times
+            if not self.count[n]:
+                del self.lengths[bisect_left(self.lengths, n)]
+
+
+def fitted_patterns(counts: dict[int, int], limit: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns as ranges of lengths (over one, up to the other) and their fitted repeats, those of the longest pieces first."""
+    if not counts:
+        return []
     edges = grid_edges(limit)
-    lengths = np.array(sorted(left))
+    lengths = np.array(sorted(counts))
     cell = np.searchsorted(edges, lengths)
-    counts = np.zeros(len(edges))
-    np.add.at(counts, cell, [left[int(n)] for n in lengths])
+    size = np.zeros(len(edges))
+    np.add.at(size, cell, [counts[int(n)] for n in lengths])
     shapes = patterns(edges, limit)
     a = np.zeros((len(edges), len(shapes)))
     for j, shape in enumerate(shapes):
@@ -243,52 +378,44 @@ def _fitted(plan: Plan, left: dict[int, int], limit: int) -> None:
             a[c, j] += 1
     # Long pieces have the fewest partners: an error there leaves the most room unused.
     weight = 0.1 + edges / limit
-    repeats = np.floor(nnls(a * weight[:, None], counts * weight) + 1e-9).astype(np.int64)
+    repeats = np.floor(nnls(a * weight[:, None], size * weight) + 1e-9).astype(np.int64)
     order = sorted(np.flatnonzero(repeats), key=lambda j: (-max(shapes[j]), -len(shapes[j]), j))
-    held = {c: [int(n) for n in lengths[cell == c]] for c in np.unique(cell)}
-    for j in order:
-        _realise(plan, left, held, shapes[j], int(repeats[j]), limit)
-
-
-def _realise(plan: Plan, left: dict[int, int], held: dict[int, list[int]], shape: tuple[int, ...], repeats: int, limit: int) -> None:
-    while repeats > 0:
-        picked: list[int] = []
-        need: dict[int, int] = defaultdict(int)
-        room = limit
-        for c in shape:
-            n = next((n for n in reversed(held.get(c, [])) if n <= room and left[n] > need.get(n, 0)), None)
-            if n is None:
-                return
-            picked.append(n)
+    low = np.append(0, edges)
+    return [([(int(low[c]), int(edges[c])) for c in shapes[j]], int(repeats[j])) for j in order]
+
+
+def _exact(left: Left, shape: list[tuple[int, int]], room: int, need: dict[int, int]) -> list[int] | None:
+    """Pieces of the shape's ranges, longest first, that fill the room to the last token."""
+    low, high = shape[0]
+    if len(shape) == 1:
+        return [room] if low < room <= high and left.count.get(room, 0) > need.get(room, 0) else None
+    at = bisect_right(left.lengths, min(room, high)) - 1
+    while at >= 0 and (n := left.lengths[at]) > low:
+        if left.count[n] > need.get(n, 0):
             need[n] += 1
-            room -= n
-        _close(left, picked, need, room)
-        times = min(repeats, *(left[n] // k for n, k in need.items()))
-        _use(plan, left, picked, need, times)
+            if (rest := _exact(left, shape[1:], room - n, need)) is not None:
+                return [n, *rest]
+            need[n] -= 1
+        at -= 1
+    return None
+
+
+def _realise(plan: Plan, left: Left, shape: list[tuple[int, int]], repeats: int, limit: int) -> None:
+    """Repeats of the shape by exact lengths that fill their sequences; what doesn't is left to the residual packer."""
+    while repeats > 0 and (picked := _exact(left, shape, limit, defaultdict(int))) is not None:
+        need = dict(Counter(picked))
+        times = min(repeats, *(left.count[n] // k for n, k in need.items()))
+        left.use(plan, picked, need, times)
         repeats -= times
 
 
-def _close(left: dict[int, int], picked: list[int], need: dict[int, int], room: int) -> None:
-    """Fill the room with the longest pieces that still fit, of any cell."""
-    while room > 0 and (n := next((n for n in range(room, 0, -1) if left.get(n, 0) > need.get(n, 0)), None)) is not None:
-        picked.append(n)
-        need[n] += 1
-        room -= n
-
-
-def _use(plan: Plan, left: dict[int, int], picked: list[int], need: dict[int, int], times: int) -> None:
-    plan.put(picked, times)
-    for n, k in need.items():
-        left[n] -= k * times
-
-
-def _best_fit(plan: Plan, left: dict[int, int], limit: int) -> None:
+def _best_fit(plan: Plan, left: Left, limit: int) -> None:
     """Longest first; each sequence is closed with the longest pieces that still fit, in runs of equal shape."""
-    while any(left.values()):
+    while left.lengths:
         picked: list[int] = []
         need: dict[int, int] = defaultdict(int)
-        _close(left, picked, need, limit)
-        _use(plan, left, picked, need, min(left[n] // k for n, k in need.items()))
+        left.close(picked, need, limit)
+        left.use(plan, picked, need, min(left.count[n] // k for n, k in need.items()))
 
 
 def _numbered(pieces: DataFrame, buckets: int) -> DataFrame:
