@@ -43,7 +43,7 @@ from causeway.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 #: Bits of a hash beyond those that number the n-grams.
 SPARE_BITS = 24
 #: Tokens whose n-grams one bucket adds up, about.
