@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans import evidence_queries, flow_queries, option_queries, quality_queries, registry, series_queries  # noqa: F401  importing registers
+from causeway.plans import evidence_queries, flow_queries, landing_queries, option_queries, quality_queries, registry, series_queries, snapshot_queries  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

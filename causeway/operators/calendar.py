@@ -69,19 +69,32 @@ def market_is_open(cal: DataFrame, now: str) -> DataFrame:
     return cal.agg(F.coalesce(F.bool_or((F.col("open_utc") <= t) & (t < F.col("close_utc"))), F.lit(False)).alias("open"))
 
 
+def completed_clock(cal: DataFrame, now: str, buffer_minutes: int = 20) -> DataFrame:
+    """The last session whose close and buffer are over, with its open, close and cutoff."""
+    cutoff = F.col("close_utc") + F.expr(f"interval {buffer_minutes} minutes")
+    done = cal.withColumn("cutoff_utc", cutoff).where(F.col("cutoff_utc") <= F.lit(now).cast("timestamp"))
+    return done.agg(F.max_by(F.struct("session", "open_utc", "close_utc", "cutoff_utc"), "session").alias("x")).select("x.*")
+
+
+#: Dates that are worth a broadcast: a thousand years of days.
+DATES = 366_000
+
+
 def session_age(sessions: DataFrame, marks: DataFrame, as_of: str) -> DataFrame:
     """id, latest -> sessions after `latest` up to `as_of`; a future date has age 0, none has no age.
 
-    Ages come from the sessions' ordinals: one window over the calendar, one as-of look-up, no pairs.
+    Ages are found once for each date that occurs, in one window over dates (as many as the calendar has), and looked up by
+    date: rows of marks stay where they are.
     """
     from pyspark.sql import Window as W
 
-    from causeway.sources.landed import as_of_join
-
     day = F.lit(as_of).cast("date")
-    ordinals = sessions.select(F.lit(0).alias("all"), "session").distinct().withColumn("ordinal", F.row_number().over(W.partitionBy("all").orderBy("session")))
-    top = ordinals.where(F.col("session") <= day).agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("top"))
-    rows = marks.withColumn("all", F.lit(0))
-    placed = as_of_join(rows, ordinals, ["all"], "latest", "session", "ordinal").drop("all")
-    age = F.greatest(F.lit(0), F.col("top") - F.coalesce("ordinal", F.lit(0)))
-    return placed.join(F.broadcast(top)).select(*marks.columns, F.when(F.col("latest").isNotNull(), age).cast("long").alias("age"))
+    dates = sessions.select(F.col("session").alias("date"), F.lit(1).alias("held")).unionByName(marks.select(F.col("latest").alias("date"), F.lit(0).alias("held"))).where("date is not null")
+    dates = dates.groupBy("date").agg(F.max("held").alias("held"))
+    w = W.partitionBy(F.lit(0)).orderBy("date")
+    ages = dates.withColumn("n", F.sum("held").over(w)).withColumn("on_day", F.when(F.col("date") <= day, F.col("n")))
+    ages = ages.withColumn("top", F.coalesce(F.max("on_day").over(W.partitionBy(F.lit(0))), F.lit(0)))
+    ages = ages.select(F.col("date").alias("latest"), F.greatest(F.lit(0), F.col("top") - F.col("n")).cast("long").alias("age"))
+    if dates.limit(DATES + 1).count() <= DATES:
+        ages = F.broadcast(ages)
+    return marks.join(ages, "latest", "left").select(*marks.columns, "age")

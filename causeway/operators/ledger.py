@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,47 +88,116 @@ def performance(returns: DataFrame) -> DataFrame:
 def matched_control(pairs: DataFrame, minimum: int = TRADING_DAYS, back_fill: bool = True) -> DataFrame:
     """symbol, session, baseline, candidate -> `control`: the baseline scaled to the candidate's mean exposure so far.
 
-    The ratio is filled backward into the warm-up as the method it mirrors does; back_fill=False keeps it causal.
+    Each mean is over the side's own values. The ratio is filled backward into the warm-up as the method it mirrors does;
+    back_fill=False keeps it causal.
     """
     w = ts.series("symbol")
     ratio = F.try_divide(ts.expanding_mean(F.col("candidate"), w, minimum), ts.expanding_mean(F.col("baseline"), w, minimum))
-    out = pairs.where("baseline is not null and candidate is not null").withColumn("ratio", _clipped(ratio, 0.0, 2.0))
+    out = pairs.withColumn("ratio", _clipped(ratio, 0.0, 2.0))
     out = out.withColumn("ratio", ts.forward_fill(F.col("ratio"), w))
     if back_fill:
         out = out.withColumn("ratio", ts.back_fill(F.col("ratio"), w))
     return out.withColumn("control", F.col("baseline") * F.col("ratio"))
 
 
-def block_indices(draws: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """draw -> (draw, pos, source): circular blocks whose starts a fixed linear rule deals out."""
-    n = F.col("n")
-    blocks = F.ceil(n / block).cast("int")
-    start = F.pmod((F.col("draw") * 7919 + F.col("b") * 104729 + 17) * 31, n)
-    out = draws.crossJoin(F.broadcast(sizes)).where(n >= block).withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    out = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    return out.select("draw", (F.col("b") * block + F.col("k")).alias("pos"), F.pmod(start + F.col("k"), n).alias("source"), "n").where("pos < n").drop("n")
+def block_source(n: int, block: int, draw: int) -> np.ndarray:
+    """Where the positions of one draw come from: circular blocks whose starts a fixed linear rule deals out."""
+    b = np.arange(-(-n // block), dtype=np.int64)
+    start = ((draw * 7919 + b * 104729 + 17) * 31) % n
+    return ((start[:, None] + np.arange(block)) % n).ravel()[:n]
+
+
+def _depth(returns: np.ndarray) -> np.ndarray:
+    """Deepest fall from the running peak of each row; the peak begins at the first equity."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        log = np.cumsum(np.log1p(returns), axis=1)
+        return np.exp(np.min(log - np.maximum.accumulate(log, axis=1), axis=1)) - 1
+
 
+#: Draws that one row of work holds.
+DRAWS_A_ROW = 50
 
-def paired_bootstrap(pairs: DataFrame, draws: int, block: int = 60) -> DataFrame:
-    """pos, left, right -> interval of the difference in drawdown when both are drawn by the same blocks.
 
-    Draws are rows of a table (as many as the parameter says), so they spread over tasks; no group holds more than one series.
+def bootstrap_depths(wide: DataFrame, columns: list[str], draws: int, block: int = 60) -> DataFrame:
+    """symbol, session and returns -> (symbol, draw, name, depth), all columns drawn by the same blocks.
+
+    A symbol's returns are one array for each column (as long as the calendar) that goes to every task of its draws; draws spread
+    over tasks. Symbols with fewer sessions than a block have no draws.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("session", *columns)))
+    one = wide.groupBy("symbol").agg(ordered.alias("x")).where(F.size("x") >= block)
+    one = one.select("symbol", *(F.col(f"x.{c}").alias(c) for c in columns))
+    work = one.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_A_ROW))))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                returns = np.array([b[c][i].as_py() for c in columns], dtype=float)
+                symbol, first = b["symbol"][i].as_py(), b["first"][i].as_py()
+                last = min(first + DRAWS_A_ROW, draws)
+                depth = np.array([_depth(returns[:, block_source(returns.shape[1], block, d)]) for d in range(first, last)])
+                n = depth.size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([symbol] * n, pa.string()), pa.array(np.repeat(np.arange(first, last), len(columns))), pa.array(columns * (last - first)), pa.array(depth.ravel(), from_pandas=True)],
+                    ["symbol", "draw", "name", "depth"],
+                )
+
+    return work.repartition("symbol", "first").mapInArrow(f, "symbol string, draw long, name string, depth double")
+
+
+def paired_bootstrap(wide: DataFrame, pairs: list[tuple[str, str]], draws: int = 1000, block: int = 60) -> DataFrame:
+    """symbol, session and returns -> symbol, left, right, difference in depth and its interval over the draws; null below one block.
+
+    significant: the interval excludes zero.
     """
-    spark = pairs.sparkSession
-    sizes = pairs.agg(F.count(F.lit(1)).alias("n"))
-    index = block_indices(spark.range(draws).withColumnRenamed("id", "draw"), sizes, block)
-    drawn = index.join(pairs.withColumnRenamed("pos", "source"), "source")
-    w = ts.series("draw", order="pos")
-    deep = drawn
-    for side in ("left", "right"):
-        deep = deep.withColumn(f"e_{side}", ts.equity(F.col(side), w))
-    peak = w.rowsBetween(W.unboundedPreceding, 0)
-    for side in ("left", "right"):
-        deep = deep.withColumn(f"d_{side}", F.col(f"e_{side}") / F.max(f"e_{side}").over(peak) - 1)
-    per = deep.groupBy("draw").agg((F.min("d_left") - F.min("d_right")).alias("diff"))
-    q = per.agg(F.count(F.lit(1)).alias("draws"), F.avg("diff").alias("mean"), F.expr("percentile(diff, array(0.025, 0.975))").alias("q"))
+    columns = sorted({c for p in pairs for c in p})
+    drawn = bootstrap_depths(wide, columns, draws, block).groupBy("symbol", "draw").pivot("name", columns).agg(F.first("depth"))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), (F.col(a) - F.col(b)).alias("diff")) for a, b in pairs))).alias("d")
+    q = drawn.select("symbol", each).select("symbol", "d.*").groupBy("symbol", "left", "right").agg(F.count("diff").alias("draws"), F.expr("percentile(diff, array(0.025, 0.975))").alias("q"))
+    long = wide.unpivot(["symbol", "session"], columns, "name", "ret")
+    depth = with_drawdown(long, ["symbol", "name"]).groupBy("symbol", "name").agg(F.min("drawdown").alias("depth"), F.count(F.lit(1)).alias("observations"))
+    depth = depth.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("name", "depth"))).alias("depth"), F.max("observations").alias("observations"))
+    seen = depth.select("symbol", "observations", F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), (F.col("depth")[a] - F.col("depth")[b]).alias("difference")) for a, b in pairs))).alias("d")).select("symbol", "observations", "d.*")
     low, high = F.col("q")[0], F.col("q")[1]
-    return q.select("draws", F.round("mean", 6).alias("mean_difference"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
+    out = seen.join(q, ["symbol", "left", "right"], "left")
+    enough = F.col("draws").isNotNull()
+    return out.select("symbol", "left", "right", "observations", F.coalesce("draws", F.lit(0)).alias("draws"), F.when(enough, F.round("difference", 6)).alias("difference"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.coalesce((low > 0) | (high < 0), F.lit(False)).alias("significant"))
+
+
+TARGET = STRATEGIES[2]
+#: Strategies that are compared with the volatility target scaled to their own mean exposure.
+MATCHED = (STRATEGIES[1], STRATEGIES[3], STRATEGIES[4])
+
+
+def with_matched_returns(exposures: DataFrame, s: Ledger = Ledger()) -> DataFrame:
+    """symbol, session and the return of each strategy and of each matched control (`matched_NAME`), on the sessions that all strategies have."""
+    w = ts.series("symbol")
+    every = F.col("r").isNotNull()
+    for name in STRATEGIES:
+        every = every & F.col(name).isNotNull()
+    rows = exposures.withColumn("common", every)
+    for name in MATCHED:
+        pair = rows.withColumns({"baseline": F.col(TARGET), "candidate": F.col(name)})
+        rows = matched_control(pair).withColumn(f"matched_{name}", F.col("control")).drop("baseline", "candidate", "ratio", "control")
+    weights = [*STRATEGIES, *(f"matched_{n}" for n in MATCHED)]
+    clipped = {c: _clipped(F.col(c), 0.0, s.cap) for c in weights}
+    held = rows.withColumns(clipped)
+    # A strategy's first weight is free; a control begins with the common sessions.
+    before = {c: F.lag(F.when(F.col("common"), F.col(c)) if c.startswith("matched_") else F.col(c)).over(w) for c in weights}
+    cost = {c: F.coalesce(F.abs(F.col(c) - before[c]), F.lit(0.0)) * s.cost_bps / 10_000 for c in weights}
+    return held.select("symbol", "session", "common", *((F.col(c) * F.col("r") + (1 - F.col(c)) * (s.cash_rate / TRADING_DAYS) - cost[c]).alias(c) for c in weights)).where("common").drop("common")
+
+
+def compare_against_benchmarks(prices: DataFrame, s: Ledger = Ledger(), draws: int = 1000, block: int = 60) -> DataFrame:
+    """Every strategy on one day set: its performance, and its drawdown against the volatility target and against its matched control."""
+    exposures = benchmark_exposures(prices, s)
+    own = performance(ledger_returns(exposures, s))
+    pairs = [(n, TARGET) for n in STRATEGIES if n != TARGET] + [(n, f"matched_{n}") for n in MATCHED]
+    tests = paired_bootstrap(with_matched_returns(exposures, s), pairs, draws, block)
+    fields = ("difference", "low", "high", "significant")
+    side = lambda prefix, rows: rows.select("symbol", F.col("left").alias("strategy"), *(F.col(c).alias(f"{prefix}_{c}") for c in fields))
+    out = own.join(side("target", tests.where(F.col("right") == TARGET)), ["symbol", "strategy"], "left")
+    return out.join(side("matched", tests.where(F.col("right") != TARGET)), ["symbol", "strategy"], "left")
 
 
 def conditional_frequencies(prices: DataFrame, horizon: int = EVENT_HORIZON, depth: float = EVENT_DEPTH, split: str = "1998-01-01", high: float = 0.9) -> DataFrame:
@@ -152,10 +225,16 @@ def episodes(flags: DataFrame, gap: int = EPISODE_GAP) -> DataFrame:
 
 
 def replay_metrics(rows: DataFrame, gap: int = EPISODE_GAP) -> DataFrame:
-    """symbol, session, i, event, alert -> recall over episodes, precision over alerts, alerts and false ones a year."""
-    found = episodes(rows.withColumnRenamed("event", "flag"), gap)
-    alerts = rows.where("alert = 1").select("symbol", F.col("i").alias("at"))
-    hit = found.join(alerts, "symbol", "left").groupBy("symbol", "episode").agg(F.coalesce(F.bool_or(F.col("at").between(F.col("first_i"), F.col("last_i"))), F.lit(False)).alias("detected"))
+    """symbol, session, i, event, alert -> recall over episodes, precision over alerts, alerts and false ones a year.
+
+    Each row learns in one window which episode began last and where it ends, so alerts and episodes never meet as pairs.
+    """
+    w = ts.series("symbol", order="i")
+    new = F.when(F.col("event") == 1, F.coalesce((F.col("i") - F.last(F.when(F.col("event") == 1, F.col("i")), True).over(w.rowsBetween(W.unboundedPreceding, -1)) > gap).cast("int"), F.lit(1)))
+    placed = rows.withColumn("new", new).withColumn("episode", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    e = W.partitionBy("symbol", "episode")
+    placed = placed.withColumn("ends", F.max(F.when(F.col("event") == 1, F.col("i"))).over(e))
+    hit = placed.where("episode > 0").groupBy("symbol", "episode").agg(F.bool_or((F.col("alert") == 1) & (F.col("i") <= F.col("ends"))).alias("detected"))
     e = hit.groupBy("symbol").agg(F.count(F.lit(1)).alias("episodes"), F.count(F.when(F.col("detected"), 1)).alias("detected"))
     a = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions"), F.sum("alert").cast("long").alias("alerts"), F.count(F.when((F.col("alert") == 1) & (F.col("event") == 1), 1)).alias("hits"))
     out = a.join(e, "symbol", "left").na.fill(0, ["episodes", "detected"])

@@ -7,17 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONTRACT = "2"
-CHUNK = 1000
+#: Columns that tell how a table was fetched rather than what it says.
+VOLATILE = ("tick_lag_seconds", "quote_age_seconds", "received_at_utc", "logged_at_utc", "retrieved_at_utc", "exchange_time_utc", "implied_volatility", "delta", "underlying_price", "open_interest_attempt")
+#: A row's hash is added up in so many parts of so many hexadecimal digits.
+PARTS, DIGITS = 4, 15
 
 
-def content_hash(rows: DataFrame, ordinal: str, ignore: tuple[str, ...] = (), by: str = "name") -> DataFrame:
-    """One ordered hash per name: rows hashed to chunks, chunks to the whole. `ordinal` counts from 0 and fixes the order."""
-    cols = sorted(c for c in rows.columns if c not in (*ignore, ordinal, by))
-    text = F.concat_ws("|", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("~"))) for c in cols))
-    hashed = rows.select(by, F.expr(f"{ordinal} div {CHUNK}").alias("chunk"), F.col(ordinal).alias("o"), F.sha2(text, 256).alias("h"))
-    joined = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), ""), 256)
-    chunks = hashed.groupBy(by, "chunk").agg(joined("o").alias("h"), F.count(F.lit(1)).alias("n"))
-    return chunks.groupBy(by).agg(joined("chunk").alias("sha256"), F.sum("n").alias("rows"))
+def content_hash(rows: DataFrame, ignore: tuple[str, ...] = (), by: str = "name") -> DataFrame:
+    """One hash per name over columns, types and the multiset of rows.
+
+    Where order matters the ordinal is a column like any other, so it is part of each row. Rows' hashes are added up in parts
+    that are wide enough not to overflow at 10^17 rows: combined before the shuffle, with no order and no array of hashes.
+    """
+    cols = sorted(c for c in rows.columns if c not in (*ignore, by))
+    kinds = dict(rows.dtypes)
+    text = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
+    hashed = rows.select(by, F.sha2(text, 256).alias("h"))
+    part = lambda k: F.conv(F.substring("h", 1 + k * DIGITS, DIGITS), 16, 10).cast("decimal(38,0)")
+    sums = hashed.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(part(k)).alias(f"s{k}") for k in range(PARTS)))
+    whole = F.concat_ws("|", F.lit(",".join(f"{c}:{kinds[c]}" for c in cols)), F.col("rows").cast("string"), *(F.col(f"s{k}").cast("string") for k in range(PARTS)))
+    return sums.select(by, F.sha2(whole, 256).alias("sha256"), "rows")
 
 
 def snapshot_id(tables: DataFrame, session: str, config: str) -> DataFrame:

@@ -5,7 +5,7 @@ Findings are rows; nothing is repaired. A finding has a severity (quarantine, re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,8 @@ from causeway.settings import SECURITY_TYPES_WITH_POSITIVE_PRICES, TOLERANCE_FLO
 
 ALL_BLOCKED = ("training", "day_end", "quotes")
 STRUCTURAL = ("price_not_finite", "price_not_positive", "ohlc_inverted", "ohlc_bounds_violated", "price_scale_break")
-ISSUE = "code string, severity string, detail string, blocks array<string>"
+#: Findings as a table of their own, empty where nothing was found.
+ISSUES = "symbol string, session date, code string, severity string, detail string, blocks array<string>"
 
 
 def finding(when: Column, code: str, severity: str, blocks: tuple[str, ...] = (), detail: Column | None = None) -> Column:
@@ -36,6 +37,10 @@ def found(rows: DataFrame, findings: list[Column], keep: list[str]) -> DataFrame
     return issues.select(*keep, "f.code", "f.severity", "f.detail", "f.blocks")
 
 
+def no_issues(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], ISSUES)
+
+
 def validate_bars(bars: DataFrame, jump: float = 0.20) -> DataFrame:
     """Checks of each bar and of its change from the last close."""
     w = ts.series("symbol")
@@ -46,16 +51,16 @@ def validate_bars(bars: DataFrame, jump: float = 0.20) -> DataFrame:
     whole = F.lit(True)
     for c in prices:
         whole = whole & ts.finite(F.col(c))
-    inside = lambda c: (F.col(c) >= F.col("low")) & (F.col(c) <= F.col("high"))
+    outside = lambda c: (F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))
     out = []
     for c in prices:
         out.append(finding(~ts.finite(F.col(c)), "price_not_finite", "quarantine", ALL_BLOCKED, F.lit(c)))
         out.append(finding(traded & ts.finite(F.col(c)) & (F.col(c) <= 0), "price_not_positive", "quarantine", ALL_BLOCKED, F.lit(c)))
     out += [
         finding(whole & (F.col("high") < F.col("low")), "ohlc_inverted", "quarantine", ALL_BLOCKED),
-        finding(whole & (F.col("high") >= F.col("low")) & ~(inside("open") & inside("close")), "ohlc_bounds_violated", "quarantine", ALL_BLOCKED),
+        *(finding(whole & outside(c), "ohlc_bounds_violated", "quarantine", ALL_BLOCKED, F.lit(c)) for c in ("open", "close")),
         finding(F.col("scale").isNotNull(), "price_scale_break", "quarantine", ALL_BLOCKED),
-        finding(F.col("scale").isNull() & (F.abs(F.col("ratio") - 1) > jump), "large_price_move", "review"),
+        finding(F.col("scale").isNull() & (F.col("ratio") > 0) & (F.abs(F.col("ratio") - 1) > jump), "large_price_move", "review"),
         finding(F.col("volume_unit").isNull(), "volume_unit_undeclared", "note"),
         finding(F.col("volume").isNull(), "volume_missing", "note"),
         finding((F.col("volume") == 0) & traded, "volume_zero", "note"),
@@ -64,9 +69,10 @@ def validate_bars(bars: DataFrame, jump: float = 0.20) -> DataFrame:
 
 
 def duplicate_rows(bars: DataFrame, by: tuple[str, ...] = ("symbol", "session")) -> DataFrame:
-    """Keys that occur more than once, told apart by whether their rows agree."""
+    """Keys that occur more than once, told apart by whether their rows agree; a null agrees with a null only."""
     rest = [c for c in bars.columns if c not in by]
-    g = bars.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.xxhash64(*rest)).alias("distinct")).where(F.col("rows") > 1)
+    content = F.struct(*rest) if rest else F.struct(F.lit(1))
+    g = bars.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(content).alias("distinct")).where(F.col("rows") > 1)
     same = F.col("distinct") == 1
     return g.select(*by, F.when(same, "duplicate_row_identical").otherwise("duplicate_row_conflict").alias("code"), F.when(same, "note").otherwise("quarantine").alias("severity"), "rows")
 
@@ -74,12 +80,12 @@ def duplicate_rows(bars: DataFrame, by: tuple[str, ...] = ("symbol", "session"))
 def validate_quotes(quotes: DataFrame, frozen: bool = False) -> DataFrame:
     """crossed book, zero bid, last outside the book (one summary note for a frozen book), implied-volatility sentinel."""
     bid, ask, last = F.col("bid"), F.col("ask"), F.col("last")
-    book = ts.finite(bid) & ts.finite(ask) & (ask > 0)
+    book = ts.finite(bid) & ts.finite(ask)
     outside = book & ts.finite(last) & ((last < bid) | (last > ask))
     checks = [
         finding(book & (bid > ask), "crossed_book", "review"),
         finding(bid == 0, "zero_bid", "note"),
-        finding(F.col("implied_volatility") < 0, "implied_vol_sentinel", "note"),
+        finding(F.col("implied_volatility") <= 0, "implied_vol_sentinel", "note"),
     ]
     if not frozen:
         return found(quotes, [*checks, finding(outside, "last_outside_book", "note")], ["con_id"])
@@ -131,12 +137,44 @@ def crisis_gate(issues: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def eligibility(snapshots: DataFrame) -> DataFrame:
-    """qualification and blocked purposes of a table -> the purposes it may serve. Training and intraday are never given."""
-    empty = F.col("rows") == 0
-    blocked = F.coalesce(F.col("blocks"), F.array().cast("array<string>"))
-    quotes = ~F.col("qualification").isin("DEGRADED", "UNAVAILABLE") & ~F.array_contains(blocked, "quotes") & ~empty
-    day_end = ~F.array_contains(blocked, "day_end") & ~empty
-    return snapshots.select("name", quotes.alias("quotes"), day_end.alias("day_end"), F.lit(False).alias("intraday"), F.lit(False).alias("training"), F.when(empty, "no data").alias("reason"))
+    """name, qualifications and blocked purposes (arrays, null for none) -> the purposes a table may serve, and why not quotes.
+
+    One row that could not be judged (DEGRADED, UNAVAILABLE) takes the quotes away; a QUARANTINED one doesn't, for there the
+    screen worked. No qualification at all is no data. The day's end depends on the blocks alone. Training and intraday use are
+    never given by one run.
+    """
+    none = F.array().cast("array<string>")
+    held = F.coalesce(F.col("qualifications"), none)
+    blocked = F.coalesce(F.col("blocks"), none)
+    unjudged = F.array_sort(F.array_intersect(held, F.array(F.lit("DEGRADED"), F.lit("UNAVAILABLE"))))
+    reason = (
+        F.when(F.array_contains(blocked, "quotes"), "quarantined by a field-level check")
+        .when(F.size(unjudged) > 0, F.concat(F.lit("rows that could not be judged: "), F.array_join(unjudged, ", ")))
+        .when(F.size(held) == 0, "no data")
+    )
+    return snapshots.select("name", reason.isNull().alias("quotes"), (~F.array_contains(blocked, "day_end")).alias("day_end"), F.lit(False).alias("intraday"), F.lit(False).alias("training"), reason.alias("reason"))
+
+
+def actions_rejected(actions: DataFrame) -> DataFrame:
+    """Corporate actions that can't be used, each with the first reason: kind, a split's ratio, or known over a year early."""
+    kind = F.col("kind")
+    why = (
+        F.when(~F.coalesce(kind.isin("split", "dividend"), F.lit(False)), "unknown kind")
+        .when((kind == "split") & ~(ts.finite(F.col("ratio")) & (F.col("ratio") > 0)), "split without a ratio")
+        .when(F.col("effective_at").isNull() | F.col("known_at").isNull(), "no date")
+        .when(F.col("known_at") < F.date_sub("effective_at", 365), "known more than a year early")
+    )
+    return actions.withColumn("reason", why).where("reason is not null")
+
+
+def expected_ratio(kind: Column, ratio: Column) -> Column:
+    """The close's ratio that a split explains; a dividend expects none."""
+    return F.when(kind == "split", F.try_divide(F.lit(1.0), ratio))
+
+
+def reported_move(detail: Column) -> Column:
+    """The first signed per cent of a finding's text as a share; null where there is none."""
+    return F.regexp_extract(detail, r"([+-]\d+(?:\.\d+)?)%", 1).try_cast("double") / 100
 
 
 # Source health
@@ -195,31 +233,114 @@ def aligned(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return a.join(secondary.select("symbol", "session", F.col("p").alias("b")), ["symbol", "session"], "full_outer")
 
 
-def reconcile(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Every session of either source with its class: agree, disagree, or in one source only."""
-    both = aligned(primary, secondary)
+def comparable(conventions: DataFrame) -> DataFrame:
+    """symbol, source, price, session_kind, currency, volume_unit -> symbol, comparable: price, session and currency agree; units of volume don't matter."""
+    c = F.struct("price", "session_kind", "currency")
+    return conventions.groupBy("symbol").agg((F.count_distinct(c) == 1).alias("comparable"))
+
+
+def reconcile(primary: DataFrame, secondary: DataFrame, conventions: DataFrame | None = None) -> DataFrame:
+    """Every session of either source with its class: agree, disagree, or in one source only.
+
+    With `conventions` (see `comparable`): symbols whose sources follow different conventions aren't compared, they get one
+    quarantine instead. Symbols of both sources without a common session get a row that says so.
+    """
+    both = aligned(primary.where("p is not null"), secondary.where("p is not null"))
     rows = both.join(measured_tolerance(both), "symbol", "left")
     diff = F.abs(F.try_divide(F.col("a"), F.col("b")) - 1)
     code = F.when(F.col("b").isNull(), "date_only_in_primary").when(F.col("a").isNull(), "date_only_in_secondary").when(diff > F.col("tolerance"), "sources_disagree").otherwise("agrees")
     severity = F.when(code == "sources_disagree", "review").when(code == "agrees", F.lit(None)).otherwise("note")
-    return rows.select("symbol", "session", F.round(diff, 6).alias("difference"), code.alias("code"), severity.alias("severity"))
+    out = rows.select("symbol", "session", F.round(diff, 6).alias("difference"), code.alias("code"), severity.alias("severity"))
+    apart = both.groupBy("symbol").agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("common"))
+    no_overlap = apart.where("common = 0 and na > 0 and nb > 0").select("symbol", *_whole_symbol("no_overlap", "review"))
+    out = out.unionByName(no_overlap)
+    if conventions is None:
+        return out
+    mismatch = comparable(conventions).where("not comparable").select("symbol", *_whole_symbol("convention_mismatch", "quarantine"))
+    return out.join(mismatch.select("symbol"), "symbol", "left_anti").unionByName(mismatch)
+
+
+def _whole_symbol(code: str, severity: str) -> list[Column]:
+    return [F.lit(None).cast("date").alias("session"), F.lit(None).cast("double").alias("difference"), F.lit(code).alias("code"), F.lit(severity).alias("severity")]
+
+
+def _middle(x: Column) -> Column:
+    """The median of a sorted array."""
+    n = F.size(x)
+    return (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2
+
+
+def tolerance_before(common: DataFrame, window: int = TOLERANCE_WINDOW) -> DataFrame:
+    """symbol, session, a, b -> also `band`: the tolerance measured on the `window` common sessions strictly before each one."""
+    w = ts.series("symbol").rowsBetween(-window, -1)
+    x = F.abs(F.try_divide(F.col("a"), F.col("b")) - 1)
+    rows = common.withColumn("before", F.collect_list(x).over(w))
+    rows = rows.withColumn("med", _middle(F.array_sort("before")))
+    mad = _middle(F.array_sort(F.transform("before", lambda v: F.abs(v - F.col("med")))))
+    band = F.when(F.size("before") < 2, F.lit(TOLERANCE_FLOOR)).otherwise(F.greatest(F.col("med") + TOLERANCE_MULTIPLE * mad, F.lit(TOLERANCE_FLOOR)))
+    return rows.withColumn("band", band).drop("before", "med")
 
 
 def confirm_moves(primary: DataFrame, secondary: DataFrame, jump: float = 0.02, window: int = TOLERANCE_WINDOW) -> DataFrame:
-    """Large moves of the first source: confirmed if the second moved alike within a band measured strictly before."""
+    """Large moves of the first source: confirmed if the second moved alike within a band measured strictly before.
+
+    Each source's move is that over its own last value, so a gap of one doesn't make the other's move incomparable. One
+    window per source and one over the common sessions; no move meets the sessions before it as rows.
+    """
     w = ts.series("symbol")
-    both = aligned(primary, secondary).withColumns({"ra": ts.pct_change(F.col("a"), w), "rb": ts.pct_change(F.col("b"), w)})
-    moves = both.where(F.abs("ra") > jump)
-    before = aligned(primary, secondary).where("a is not null and b is not null").select("symbol", F.col("session").alias("s"), F.abs(F.try_divide(F.col("a"), F.col("b")) - 1).alias("x"))
-    near = moves.select("symbol", "session").join(before, "symbol").where("s < session").withColumn("n", F.row_number().over(W.partitionBy("symbol", "session").orderBy(F.col("s").desc()))).where(F.col("n") <= window)
-    mid = near.groupBy("symbol", "session").agg(F.expr("percentile(x, 0.5)").alias("med"))
-    mad = near.join(mid, ["symbol", "session"]).groupBy("symbol", "session").agg(F.first("med").alias("med"), F.expr("percentile(abs(x - med), 0.5)").alias("mad"), F.count("x").alias("points"))
-    band = F.when(F.coalesce("points", F.lit(0)) < 2, F.lit(TOLERANCE_FLOOR)).otherwise(F.greatest(F.col("med") + TOLERANCE_MULTIPLE * F.col("mad"), F.lit(TOLERANCE_FLOOR)))
-    code = F.when(F.col("rb").isNull(), "move_unconfirmable").when(F.abs(F.col("ra") - F.col("rb")) <= F.greatest(2 * band, F.lit(0.005)), "move_confirmed").otherwise("move_unconfirmed")
-    out = moves.join(mad, ["symbol", "session"], "left")
+    moved = lambda s: s.where("p is not null").withColumn("r", ts.pct_change(F.col("p"), w))
+    a = moved(primary).select("symbol", "session", F.col("p").alias("a"), F.col("r").alias("ra"))
+    b = moved(secondary).select("symbol", "session", F.col("p").alias("b"), F.col("r").alias("rb"))
+    bands = tolerance_before(a.join(b, ["symbol", "session"]), window)
+    moves = a.where(F.abs("ra") > jump).select("symbol", "session", "ra")
+    out = moves.join(bands.select("symbol", "session", "rb", "band"), ["symbol", "session"], "left")
+    alike = F.abs(F.col("ra") - F.col("rb")) <= F.greatest(2 * F.col("band"), F.lit(0.005))
+    code = F.when(F.col("rb").isNull(), "move_unconfirmable").when(alike, "move_confirmed").otherwise("move_unconfirmed")
     return out.select("symbol", "session", F.round("ra", 6).alias("move"), code.alias("code"), F.when(code == "move_confirmed", "note").otherwise("review").alias("severity"))
 
 
+def agreement_cannot_clear(issues: DataFrame) -> DataFrame:
+    """The findings of one source unchanged, and for each symbol with a quarantine a note that agreement doesn't lift it."""
+    columns = [c for c in issues.columns if c not in ("symbol", "code", "severity")]
+    note = issues.where("severity = 'quarantine'").select("symbol").distinct()
+    note = note.select("symbol", F.lit("agreement_does_not_clear_quarantine").alias("code"), F.lit("note").alias("severity"), *(F.lit(None).cast(issues.schema[c].dataType).alias(c) for c in columns))
+    return issues.unionByName(note)
+
+
+def unverifiable(subjects: DataFrame, reason: str) -> DataFrame:
+    """A note for each symbol that no second source confirms."""
+    return subjects.select("symbol", F.lit("no_independent_source").alias("code"), F.lit("note").alias("severity"), F.lit(reason).alias("detail"))
+
+
+def stability_only(reads: DataFrame) -> DataFrame:
+    """symbol, value of repeated reads of one feed -> how many and how far apart; that is steadiness, not confirmation."""
+    g = reads.groupBy("symbol").agg(F.count("value").alias("reads"), (F.try_divide(F.max("value"), F.min("value")) - 1).alias("spread"))
+    return g.select("symbol", "reads", "spread", F.lit("same_source_stability").alias("code"), F.lit("note").alias("severity"))
+
+
+def substitutions(requests: DataFrame) -> DataFrame:
+    """symbol, replaced, replacement, reason of swaps; a swap without a reason raises, for none is made silently."""
+    given = F.length(F.trim(F.coalesce(F.col("reason"), F.lit("")))) > 0
+    checked = F.when(given, F.col("reason")).otherwise(F.raise_error(F.concat(F.coalesce(F.col("symbol"), F.lit("?")), F.lit(": a substitution needs a reason"))))
+    return requests.select("symbol", F.col("replaced").alias("replaced_source"), F.col("replacement").alias("replacement_source"), checked.alias("substitution_reason"), F.lit(True).alias("must_pass_same_gates"))
+
+
+def cross_source(primary: DataFrame, secondary: DataFrame | None, conventions: DataFrame | None = None, jump: float = 0.02) -> DataFrame:
+    """symbol, verdict, disagreements, confirmed, unconfirmed. Without a second source a symbol is unverified, never in disagreement."""
+    symbols = primary.select("symbol").distinct()
+    if secondary is None:
+        return symbols.select("symbol", F.lit("unverified").alias("verdict"), *(F.lit(0).cast("long").alias(c) for c in ("disagreements", "confirmed", "unconfirmed")))
+    seen = reconcile(primary, secondary, conventions).groupBy("symbol").agg(
+        F.count(F.when(F.col("code") == "sources_disagree", 1)).alias("disagreements"),
+        F.count(F.when(F.col("code").isin("agrees", "sources_disagree"), 1)).alias("common"),
+        F.bool_or(F.col("code") == "convention_mismatch").alias("mismatch"),
+    )
+    moves = confirm_moves(primary, secondary, jump).groupBy("symbol").agg(F.count(F.when(F.col("code") == "move_confirmed", 1)).alias("confirmed"), F.count(F.when(F.col("code") != "move_confirmed", 1)).alias("unconfirmed"))
+    out = symbols.join(seen, "symbol", "left").join(moves, "symbol", "left").na.fill(0, ["disagreements", "common", "confirmed", "unconfirmed"])
+    verdict = F.when(F.coalesce("mismatch", F.lit(False)), "convention_mismatch").when(F.col("common") == 0, "unverified").when(F.col("disagreements") > 0, "disagreed").otherwise("agreed")
+    return out.select("symbol", verdict.alias("verdict"), "disagreements", "confirmed", "unconfirmed")
+
+
 def reconciliation_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(
         F.count(F.when(F.col("code").isin("agrees", "sources_disagree"), 1)).alias("common"),

@@ -78,3 +78,16 @@ def summary(experiments: DataFrame) -> DataFrame:
     )
     out = every.join(g, "capability", "left")
     return out.select("capability", F.coalesce("experiments", F.lit(0)).alias("experiments"), F.coalesce("grades", F.lit("")).alias("grades"), F.coalesce("may_influence", F.lit("")).alias("may_influence"))
+
+
+def save(experiments: DataFrame, path: str) -> None:
+    """As JSON records. Experiments are never removed: a store is written whole, from what was loaded and what was added."""
+    experiments.write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A store that isn't there is empty."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).json(path)

@@ -40,6 +40,59 @@ def event_machine_batch(spark, sf_dir):
     return machine.notifications(labels(spark, sf_dir))
 
 
+#: A confirmed event stands (open) after a session: the machine's state over labels lb(label, i, present), i from 0.
+def standing_sql(lb: str, out: str) -> str:
+    return f"""{out}m as (select label, cast(-1 as bigint) as i, false as active, 0 as seen, 0 as absent, false as confirmed from (select distinct label from {lb})
+  union all select label, i, active and not released, case when released then 0 else seen end, case when released then 0 else absent end, confirmed and not released from (
+    select l.label, l.i, l.present or m.active as active, case when l.present then case when m.active then m.seen + 1 else 1 end else m.seen end as seen, case when l.present or not m.active then 0 else m.absent + 1 end as absent,
+           m.confirmed or (l.present and m.active and m.seen + 1 >= 3) as confirmed, not l.present and m.active and m.absent + 1 >= 5 as released from {out}m m join {lb} l on l.label = m.label and l.i = m.i + 1)),
+{out} as (select label, i, confirmed as open from {out}m where i >= 0)"""
+
+
+@query("standing_events", f"with recursive {LABELS}, {standing_sql('lb', 'st')} select label, session, open from st join lb using (label, i)")
+def standing_events(spark, sf_dir):
+    return machine.standing(labels(spark, sf_dir))
+
+
+@query("active_events", MACHINE.rsplit("select label, session, kind", 1)[0] + "select label, first_seen, seen, absent, confirmed as confirmed_on from m where first_seen is not null qualify row_number() over (partition by label order by i desc) = 1 and i = (select max(i) from m x where x.label = m.label)")
+def active_events(spark, sf_dir):
+    return machine.active(labels(spark, sf_dir)).select("label", "first_seen", "seen", "absent", "confirmed_on")
+
+
+REPLAY = f"""with recursive {PX}, w_ as (select *, p / lag(p) over (order by session) - 1 as r from px),
+v_ as (select *, case when count(r) over (order by session rows between 19 preceding and current row) = 20 then stddev_samp(r) over (order by session rows between 19 preceding and current row) * sqrt(252) end as x,
+  p <= case when count(p) over (order by session rows between 199 preceding and current row) = 200 then avg(p) over (order by session rows between 199 preceding and current row) end as low,
+  case when count(p) over (order by session rows between 1 following and 20 following) = 20 then cast(min(p) over (order by session rows between 1 following and 20 following) / p - 1 <= -0.05 as int) end as event from w_),
+ca as (select a.i, count(b.x) as earlier, count(case when b.x < a.x then 1 end) as below from v_ a left join v_ b on b.i < a.i and b.x is not null where a.x is not null group by 1),
+rk as (select v_.*, case when earlier + 1 >= 252 and earlier > 0 then below / earlier end as rank from v_ left join ca using (i)),
+la as (select 'c' as label, i, coalesce(lag(low) over (order by i), false) as present from rk),
+{standing_sql('la', 'sc')},
+gr as (select cast(g as varchar) as label, i, coalesce(rank >= g / 100, false) as present from rk, range(50, 99) t(g) where session <= date '1998-06-30'),
+{standing_sql('gr', 'sg')},
+rt as (select label, count(*) filter (where up) / count(*) * 252 as rate from (select label, open and not lag(open) over (partition by label order by i) as up from sg) group by 1),
+tr as (select count(*) filter (where up) / count(*) * 252 as target from (select open and not lag(open) over (order by i) as up from sc join px using (i) where session <= date '1998-06-30')),
+mt as (select cast(label as int) as grid, rate from rt, tr order by abs(rate - target), cast(label as int) limit 1),
+lv as (select 'v' as label, i, coalesce(lag(rank) over (order by i) >= grid / 100, false) as present from rk, mt),
+{standing_sql('lv', 'sv')},
+fe as (select i, session, coalesce(cast(i - lag(i) over (order by i) > 5 as int), 1) as new from rk where event = 1),
+fs as (select *, sum(new) over (order by i) as episode from fe),
+ep as (select episode, min(session) as a, max(session) as b from fs group by 1),
+si as (select 'c' as rule, i, open from sc union all select 'v', i, open from sv),
+hi as (select rule, count(distinct episode) as detected from si join rk using (i) join ep on session between a and b where open and event is not null and a > date '1998-06-30' group by 1),
+rr as (select rule, count(*) filter (where up) / count(*) * 252 as rate from (select rule, open and not lag(open) over (partition by rule order by i) as up from si join px using (i) where session > date '1998-06-30') group by 1),
+te as (select count(*) as n from ep where a > date '1998-06-30')
+select 'px' as symbol, grid, round(target, 6) as target, round((select rate from rr where rule = 'c'), 6) as candidate_rate, round((select rate from rr where rule = 'v'), 6) as comparator_rate,
+round(coalesce((select detected from hi where rule = 'c'), 0) / n, 6) as candidate_recall, round(coalesce((select detected from hi where rule = 'v'), 0) / n, 6) as comparator_recall, n as test_episodes, (select count(*) from ep where b <= date '1998-06-30') as train_episodes from mt, tr, te"""
+
+
+@query("trend_rule_replay", REPLAY)
+def trend_rule_replay(spark, sf_dir):
+    from causeway.operators import replay
+
+    m = replay.measure(px(spark, sf_dir), "1998-06-30")
+    return m.select("symbol", "grid", *(F.round(c, 6).alias(c) for c in ("target", "candidate_rate", "comparator_rate", "candidate_recall", "comparator_recall")), "test_episodes", "train_episodes")
+
+
 @query("event_machine_stream", MACHINE)
 def event_machine_stream(spark, sf_dir):
     """The streaming operator over landed label files, run until they are read; equal to the batch fold."""
@@ -52,14 +105,10 @@ def event_machine_stream(spark, sf_dir):
 
 
 def stage(spark) -> str:
-    """The folder that driver and executors share; only where none is named (one machine) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
+    """The folder that driver and executors share; only where none is named, on one machine, a temporary one."""
+    from causeway.session import shared_folder
 
-        where = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return shared_folder(spark)
 
 
 @query("confirmation_cost")
@@ -87,7 +136,9 @@ def session_window(spark, sf_dir):
     return e.groupBy(F.session_window("ts", "7200.000001 seconds").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("watermark_late_rows")
+#: One file is one batch: nothing is late yet, and windows that end by the watermark are given out.
+@query("watermark_late_rows", """with e as (select case when event_id % 17 = 0 then ts - interval 2 hours else ts end as ts from events), w as (select time_bucket(interval 1 hour, ts) as start, count(*) as n from e group by 1)
+select start, n from w where start + interval 1 hour <= (select max(ts) - interval 30 minutes from e)""")
 def watermark_late_rows(spark, sf_dir):
     """A stream in which some rows come two hours late: hourly counts under a watermark of thirty minutes."""
     at = f"{stage(spark)}/late-{uuid.uuid4().hex}"
@@ -97,7 +148,7 @@ def watermark_late_rows(spark, sf_dir):
     counts = late.withWatermark("ts", "30 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
     q = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("start timestamp, n long").parquet(f"{at}/out")
+    return spark.read.schema("start timestamp, n long").parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("json_props_extract", "select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events group by 1")
@@ -136,9 +187,9 @@ def initial_release(spark, sf_dir):
     return landed.initial_release(rows).select("series", "available", "value", "observation_date")
 
 
-@query("combine_first", f"with {SECOND} select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.session, b.session) as session, round(coalesce(a.p, b.p), 4) as value from (select * from px where i % 5 > 0) a full join px2 b on a.symbol = b.symbol and a.session = b.session")
+@query("combine_first", f"with {SECOND} select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.session, b.session) as session, round(coalesce(a.p, b.p), 4) as value from (select symbol, session, case when i % 5 > 0 then p end as p from px) a full join px2 b on a.symbol = b.symbol and a.session = b.session")
 def combine_first(spark, sf_dir):
-    a = px(spark, sf_dir).where("i % 5 > 0").withColumnRenamed("p", "value")
+    a = px(spark, sf_dir).withColumn("value", F.when(F.col("i") % 5 > 0, F.col("p")))
     b = second_source(spark, sf_dir).withColumnRenamed("p", "value")
     return landed.combine_first(a, b, ["symbol", "session"]).withColumn("value", F.round("value", 4))
 
@@ -165,11 +216,11 @@ def asof_trim(spark, sf_dir):
     return landed.as_of(px(spark, sf_dir), "1998-06-30").select("symbol", "session", F.round("p", 4).alias("p"))
 
 
-@query("asof_join", """with r as (select l_suppkey as k, cast(l_shipdate as date) as d, max(l_extendedprice) as price from lineitem where l_orderkey % 3 = 0 group by 1, 2)
+@query("asof_join", """with r as (select l_suppkey as k, cast(l_shipdate as date) as d, max(l_extendedprice) as price from lineitem group by 1, 2)
 select o.o_orderkey, r.price from (select o_orderkey, o_custkey % 100 as k, cast(o_orderdate as date) as d from orders) o asof left join r on o.k = r.k and o.d >= r.d""")
 def asof_join(spark, sf_dir):
     left = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), F.to_date("o_orderdate").alias("d"))
-    right = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d")).agg(F.max("l_extendedprice").alias("price"))
+    right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d")).agg(F.max("l_extendedprice").alias("price"))
     return landed.as_of_join(left, right, ["k"], "d", "d", "price").select("o_orderkey", "price")
 
 
@@ -217,36 +268,36 @@ def snapshot_changed_tables(spark, sf_dir):
     return lineage.changed_tables(h.where("old"), h.where("not old"), ["name"])
 
 
-@query("content_hash", """with r as (select o_orderstatus as name, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as o, sha256('o_custkey=' || o_custkey || '|o_orderkey=' || o_orderkey) as h from orders),
-c as (select name, o // 1000 as chunk, sha256(string_agg(h, '' order by o)) as h, count(*) as n from r group by 1, 2)
-select name, sha256(string_agg(h, '' order by chunk)) as sha256, cast(sum(n) as bigint) as rows from c group by 1""")
+@query("content_hash", """with r as (select o_orderstatus as name, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}') as h from orders),
+g as (select name, count(*) as rows, sum(cast(('0x' || h[1:15]) as bigint)) as s0, sum(cast(('0x' || h[16:30]) as bigint)) as s1, sum(cast(('0x' || h[31:45]) as bigint)) as s2, sum(cast(('0x' || h[46:60]) as bigint)) as s3 from r group by 1)
+select name, sha256('o_custkey:bigint,o_orderkey:bigint|' || rows || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) as sha256, rows from g""")
 def content_hash(spark, sf_dir):
-    from pyspark.sql import Window as W
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("name"), F.col("o_custkey").cast("bigint").alias("o_custkey"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    return lineage.content_hash(o)
 
-    o = table(spark, sf_dir, "orders").withColumn("ordinal", F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1)
-    return lineage.content_hash(o.select(F.col("o_orderstatus").alias("name"), "ordinal", "o_custkey", "o_orderkey"), "ordinal")
 
-
-@query("eligibility", "with t as (select o_custkey as name, case o_custkey % 4 when 0 then 'VALID' when 1 then 'DEGRADED' when 2 then 'QUARANTINED' else 'UNAVAILABLE' end as q, o_custkey % 5 as b, count(*) filter (where o_orderkey % 2 = 0) as rows from orders group by 1) select name, q not in ('DEGRADED', 'UNAVAILABLE') and b <> 1 and rows > 0 as quotes, b <> 2 and rows > 0 as day_end, false as intraday, false as training, case when rows = 0 then 'no data' end as reason from t")
+@query("eligibility", """with t as (select o_custkey as name, list_sort(list(distinct case (o_custkey + o_orderkey) % 6 when 0 then 'DEGRADED' when 1 then 'UNAVAILABLE' when 2 then 'QUARANTINED' else 'VALID' end) filter (where o_orderkey % 2 = 0)) as q, o_custkey % 5 as b from orders group by o_custkey),
+r as (select name, b, case when b = 1 then 'quarantined by a field-level check' when list_has_any(q, ['DEGRADED', 'UNAVAILABLE']) then 'rows that could not be judged: ' || array_to_string(list_filter(q, lambda x: x in ('DEGRADED', 'UNAVAILABLE')), ', ') when q is null then 'no data' end as reason from t)
+select name, reason is null as quotes, b <> 2 as day_end, false as intraday, false as training, reason from r""")
 def eligibility(spark, sf_dir):
     from causeway.operators.quality import eligibility as op
 
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.count(F.when(F.col("o_orderkey") % 2 == 0, 1)).alias("rows"))
-    k, b = F.col("name") % 4, F.col("name") % 5
-    q = F.when(k == 0, "VALID").when(k == 1, "DEGRADED").when(k == 2, "QUARANTINED").otherwise("UNAVAILABLE")
-    blocks = F.when(b == 1, F.array(F.lit("quotes"))).when(b == 2, F.array(F.lit("day_end")))
-    return op(o.select("name", "rows", q.alias("qualification"), blocks.alias("blocks")))
+    k = (F.col("o_custkey") + F.col("o_orderkey")) % 6
+    q = F.when(k == 0, "DEGRADED").when(k == 1, "UNAVAILABLE").when(k == 2, "QUARANTINED").otherwise("VALID")
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.collect_set(F.when(F.col("o_orderkey") % 2 == 0, q)).alias("qualifications"))
+    b = F.col("name") % 5
+    return op(t.withColumn("blocks", F.when(b == 1, F.array(F.lit("quotes"))).when(b == 2, F.array(F.lit("day_end")))))
 
 
 @query("registry_summary", """with e as (select o_orderkey, case o_orderkey % 3 when 0 then 'data_quality' when 1 then 'risk_identification' else 'other' end as c, case o_custkey % 4 when 0 then 'computed_correctly' when 1 then 'replayed_and_explainable' when 2 then 'frozen_shadow_output' else 'tested_on_new_data' end as grade,
-case o_custkey % 5 when 0 then 'passed' else 'insufficient_evidence' end as outcome from orders where o_orderkey < 500)
+case o_custkey % 5 when 0 then 'passed' else 'insufficient_evidence' end as outcome from orders)
 select k as capability, count(o_orderkey) as experiments, coalesce(array_to_string(list_sort(list(distinct grade) filter (where grade is not null)), ','), '') as grades,
 coalesce(array_to_string(list_sort(list(distinct 'e' || o_orderkey) filter (where grade = 'tested_on_new_data' and outcome = 'passed')), ','), '') as may_influence
 from (values ('data_quality'), ('risk_identification'), ('action_value')) t(k) left join e on c = k group by 1""")
 def registry_summary(spark, sf_dir):
     from causeway.operators import research
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     pick = lambda c, n, values: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % n + 1).cast("int"))
     rows = o.select(
         F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("name"),
@@ -258,14 +309,14 @@ def registry_summary(spark, sf_dir):
 
 
 @query("late_open_interest", """with q as (select l_orderkey * 10 + l_linenumber as con_id, max(case when l_orderkey % 3 = 0 then l_quantity end) as oi from lineitem group by 1),
-r as (select l_orderkey * 10 + l_linenumber as con_id, l_suppkey % 4 + 1 as attempt, max(l_discount) as oi from lineitem where l_orderkey % 5 < 3 group by 1, 2)
+r as (select l_orderkey * 10 + l_linenumber as con_id, l_suppkey % 4 + 1 as attempt, max(case when l_orderkey % 5 < 3 then l_discount end) as oi from lineitem group by 1, 2)
 select con_id, coalesce(q.oi, x.oi) as open_interest, cast(case when q.oi is null and x.oi is not null then x.attempt else 0 end as int) as attempt
-from q left join (select con_id, min(attempt) as attempt, arg_min(oi, attempt) as oi from r group by 1) x using (con_id)""")
+from q left join (select con_id, min(attempt) as attempt, arg_min(oi, attempt) as oi from r where oi is not null group by 1) x using (con_id)""")
 def late_open_interest(spark, sf_dir):
     from causeway.sources import quotes as landed_quotes
 
     li = table(spark, sf_dir, "lineitem")
     con = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("con_id")
     q = li.groupBy(con).agg(F.max(F.when(F.col("l_orderkey") % 3 == 0, F.col("l_quantity"))).alias("open_interest")).withColumn("open_interest_attempt", F.lit(0))
-    r = li.where("l_orderkey % 5 < 3").groupBy(con, (F.col("l_suppkey") % 4 + 1).cast("int").alias("attempt")).agg(F.max("l_discount").alias("open_interest"))
+    r = li.groupBy(con, (F.col("l_suppkey") % 4 + 1).cast("int").alias("attempt")).agg(F.max(F.when(F.col("l_orderkey") % 5 < 3, F.col("l_discount"))).alias("open_interest"))
     return landed_quotes.with_late_open_interest(q, r).select("con_id", "open_interest", F.col("open_interest_attempt").alias("attempt"))

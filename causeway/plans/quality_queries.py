@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import timeseries as ts
 from causeway.operators import quality
-from causeway.plans.inputs import BARS, PX, SECOND, QUOTES, bars, px, quotes, second_source, table
+from causeway.plans.inputs import BARS, PX, PX5, SECOND, SYMBOLS, QUOTES, bars, px, px5, quotes, second_source, table
 from causeway.plans.registry import query
 
 V = "over (partition by symbol order by session)"
@@ -17,9 +17,10 @@ sb as (select *, case when k <> 0 and abs(ratio / pow(10.0, k) - 1) <= 0.02 then
 ISSUES = f"""{BARS}, {SCALE}, iss as (
 {' union all '.join(f"select symbol, session, 'price_not_finite' as code, 'quarantine' as severity, '{c}' as detail, 'training,day_end,quotes' as blocks from sb where {c} is null union all select symbol, session, 'price_not_positive', 'quarantine', '{c}', 'training,day_end,quotes' from sb where {c} <= 0" for c in ('open', 'high', 'low', 'close'))}
 union all select symbol, session, 'ohlc_inverted', 'quarantine', null, 'training,day_end,quotes' from sb where {WHOLE} and high < low
-union all select symbol, session, 'ohlc_bounds_violated', 'quarantine', null, 'training,day_end,quotes' from sb where {WHOLE} and high >= low and not (open between low and high and close between low and high)
+union all select symbol, session, 'ohlc_bounds_violated', 'quarantine', 'open', 'training,day_end,quotes' from sb where {WHOLE} and (open < low or open > high)
+union all select symbol, session, 'ohlc_bounds_violated', 'quarantine', 'close', 'training,day_end,quotes' from sb where {WHOLE} and (close < low or close > high)
 union all select symbol, session, 'price_scale_break', 'quarantine', null, 'training,day_end,quotes' from sb where scale is not null
-union all select symbol, session, 'large_price_move', 'review', null, '' from sb where scale is null and abs(ratio - 1) > 0.20
+union all select symbol, session, 'large_price_move', 'review', null, '' from sb where scale is null and ratio > 0 and abs(ratio - 1) > 0.20
 union all select symbol, session, 'volume_unit_undeclared', 'note', null, '' from sb where volume_unit is null
 union all select symbol, session, 'volume_missing', 'note', null, '' from sb where volume is null
 union all select symbol, session, 'volume_zero', 'note', null, '' from sb where volume = 0)"""
@@ -66,28 +67,29 @@ def drop_quarantined(spark, sf_dir):
     return quality.drop_quarantined(b, quality.validate_bars(b)).select("symbol", "session", "close")
 
 
-DUPES = "dup as (select l_suppkey as symbol, cast(l_shipdate as date) as session, l_quantity as close, l_returnflag as flag from lineitem)"
+#: Some cells are null, so that rows can differ in where a null stands.
+DUPES = "dup as (select l_suppkey as symbol, cast(l_shipdate as date) as session, case when l_linenumber % 3 > 0 then l_linestatus end as close, case when l_linenumber % 3 = 0 then l_linestatus end as flag from lineitem)"
 
 
-@query("duplicate_rows", f"with {DUPES} select symbol, session, case when count(distinct (close, flag)) = 1 then 'duplicate_row_identical' else 'duplicate_row_conflict' end as code, case when count(distinct (close, flag)) = 1 then 'note' else 'quarantine' end as severity, count(*) as rows from dup group by 1, 2 having count(*) > 1")
+@query("duplicate_rows", f"with {DUPES} select symbol, session, case when count(distinct (coalesce(close, '-'), coalesce(flag, '-'))) = 1 then 'duplicate_row_identical' else 'duplicate_row_conflict' end as code, case when count(distinct (coalesce(close, '-'), coalesce(flag, '-'))) = 1 then 'note' else 'quarantine' end as severity, count(*) as rows from dup group by 1, 2 having count(*) > 1")
 def duplicate_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return quality.duplicate_rows(li.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("session"), F.col("l_quantity").alias("close"), F.col("l_returnflag").alias("flag")))
+    return quality.duplicate_rows(li.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("session"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linestatus")).alias("close"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linestatus")).alias("flag")))
 
 
-BOOK = "bid is not null and ask is not null and ask > 0"
+BOOK = "bid is not null and ask is not null"
 
 
 @query("validate_quotes", f"""with {QUOTES}
 select con_id, 'crossed_book' as code, 'review' as severity from quotes where {BOOK} and bid > ask
-union all select con_id, 'zero_bid', 'note' from quotes where bid = 0 union all select con_id, 'implied_vol_sentinel', 'note' from quotes where implied_volatility < 0
+union all select con_id, 'zero_bid', 'note' from quotes where bid = 0 union all select con_id, 'implied_vol_sentinel', 'note' from quotes where implied_volatility <= 0
 union all select con_id, 'last_outside_book', 'note' from quotes where {BOOK} and (last < bid or last > ask)""")
 def validate_quotes(spark, sf_dir):
     return quality.validate_quotes(quotes(spark, sf_dir)).select("con_id", "code", "severity")
 
 
 @query("validate_frozen_quotes", f"""with {QUOTES}, i as (
-select 'crossed_book' as code from quotes where {BOOK} and bid > ask union all select 'zero_bid' from quotes where bid = 0 union all select 'implied_vol_sentinel' from quotes where implied_volatility < 0)
+select 'crossed_book' as code from quotes where {BOOK} and bid > ask union all select 'zero_bid' from quotes where bid = 0 union all select 'implied_vol_sentinel' from quotes where implied_volatility <= 0)
 select code, count(*) as n, cast(null as varchar) as detail from i group by 1
 union all select 'last_outside_frozen_book', 1, cast(count(*) as varchar) from quotes where {BOOK} and (last < bid or last > ask)""")
 def validate_frozen_quotes(spark, sf_dir):
@@ -191,20 +193,103 @@ def reconciliation_summary(spark, sf_dir):
     return quality.reconciliation_summary(quality.reconcile(px(spark, sf_dir), second_source(spark, sf_dir)))
 
 
-@query("confirm_move", f"""with {TOLERANCE}, mr as (select *, a / lag(a) {V} - 1 as ra, b / lag(b) {V} - 1 as rb from jn),
-mv as (select * from mr where abs(ra) > 0.02),
-nr as (select m.symbol, m.session, abs(j.a / j.b - 1) as x from mv m join jn j on j.symbol = m.symbol and j.session < m.session and j.a is not null and j.b is not null qualify row_number() over (partition by m.symbol, m.session order by j.session desc) <= 250),
+CONFIRM = """ra as (select symbol, session, p, p / lag(p) {V} - 1 as r from px), rb as (select symbol, session, p, p / lag(p) {V} - 1 as r from px2),
+mv as (select * from ra where abs(r) > 0.02), cm as (select a.symbol, a.session, abs(a.p / b.p - 1) as x from ra a join rb b using (symbol, session)),
+nr as (select m.symbol, m.session, x from mv m join cm j on j.symbol = m.symbol and j.session < m.session qualify row_number() over (partition by m.symbol, m.session order by j.session desc) <= 250),
 nm as (select symbol, session, median(x) as med from nr group by 1, 2),
 nd as (select symbol, session, any_value(med) as med, median(abs(x - med)) as mad, count(*) as points from nr join nm using (symbol, session) group by 1, 2),
-cf as (select m.symbol, m.session, ra, case when rb is null then 'move_unconfirmable' when abs(ra - rb) <= greatest(2 * case when coalesce(points, 0) < 2 then 5e-5 else greatest(med + 6 * mad, 5e-5) end, 0.005) then 'move_confirmed' else 'move_unconfirmed' end as code from mv m left join nd using (symbol, session))
-select symbol, session, round(ra, 6) as move, code, case when code = 'move_confirmed' then 'note' else 'review' end as severity from cf""")
+cf as (select m.symbol, m.session, m.r as ra, case when b.r is null then 'move_unconfirmable' when abs(m.r - b.r) <= greatest(2 * case when coalesce(points, 0) < 2 then 5e-5 else greatest(med + 6 * mad, 5e-5) end, 0.005) then 'move_confirmed' else 'move_unconfirmed' end as code
+       from mv m left join rb b using (symbol, session) left join nd using (symbol, session))""".replace("{V}", V)
+
+
+@query("confirm_move", f"with {SECOND}, {CONFIRM} select symbol, session, round(ra, 6) as move, code, case when code = 'move_confirmed' then 'note' else 'review' end as severity from cf")
 def confirm_move(spark, sf_dir):
     return quality.confirm_moves(px(spark, sf_dir), second_source(spark, sf_dir))
 
 
-@query("union_issues", f"with {ISSUES}, n as (select symbol, min(session) as session from iss where severity = 'quarantine' group by 1) select symbol, code, severity, count(*) as n from (select symbol, code, severity from iss union all select symbol, 'agreement_cannot_clear', 'note' from n) group by 1, 2, 3")
+@query("union_issues", f"with {ISSUES}, n as (select symbol, min(session) as session from iss where severity = 'quarantine' group by 1) select symbol, code, severity, count(*) as n from (select symbol, code, severity from iss union all select symbol, 'agreement_does_not_clear_quarantine', 'note' from n) group by 1, 2, 3")
 def union_issues(spark, sf_dir):
     """Agreement of another source adds a note where something is quarantined; it never clears it."""
     issues = quality.validate_bars(bars(spark, sf_dir)).select("symbol", "code", "severity")
-    note = issues.where("severity = 'quarantine'").select("symbol").distinct().select("symbol", F.lit("agreement_cannot_clear").alias("code"), F.lit("note").alias("severity"))
-    return issues.unionByName(note).groupBy("symbol", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return quality.agreement_cannot_clear(issues).groupBy("symbol", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Five symbols seen by a second source: one trades under another convention, one shares no session.
+FIVE = f"""{PX5}, s5 as (select symbol, case when symbol = 'lqd' then session + 10000 else session end as session, p * (1 + 1e-6 * ((i % 5) - 2)) * case when symbol = 'iwm' and i % 401 = 7 then 1.1 else 1.0 end as p from px5 where i % 89 <> 3),
+j5 as (select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.session, b.session) as session, a.p as a, b.p as b from px5 a full join s5 b on a.symbol = b.symbol and a.session = b.session),
+t5 as (select symbol, abs(a / b - 1) as x from j5 where a is not null and b is not null qualify row_number() over (partition by symbol order by session desc) <= 250),
+m5 as (select symbol, median(x) as med, count(*) as points from t5 group by 1),
+l5 as (select symbol, case when points < 2 then 5e-5 else greatest(med + 6 * mad, 5e-5) end as tolerance from (select symbol, any_value(points) as points, any_value(med) as med, median(abs(x - med)) as mad from t5 join m5 using (symbol) group by 1)),
+r5 as (select symbol, session, case when b is null then 'date_only_in_primary' when a is null then 'date_only_in_secondary' when abs(a / b - 1) > tolerance then 'sources_disagree' else 'agrees' end as code from j5 left join l5 using (symbol) where symbol <> 'hyg'
+       union all select 'lqd', null, 'no_overlap' union all select 'hyg', null, 'convention_mismatch')"""
+
+
+def five(spark, sf_dir):
+    a = px5(spark, sf_dir)
+    i = F.col("i")
+    other = F.when((F.col("symbol") == "iwm") & (i % 401 == 7), 1.1).otherwise(1.0)
+    b = a.where("i % 89 <> 3").select("symbol", F.when(F.col("symbol") == "lqd", F.date_add("session", 10000)).otherwise(F.col("session")).alias("session"), (F.col("p") * (1 + 1e-6 * ((i % 5) - 2)) * other).alias("p"))
+    rows = [(s, source, "adjusted" if s == "hyg" and source == "second" else "raw", "regular", "USD", "shares") for s in SYMBOLS.values() for source in ("first", "second")]
+    return a, b, spark.createDataFrame(rows, "symbol string, source string, price string, session_kind string, currency string, volume_unit string")
+
+
+@query("reconcile_conventions", f"with {FIVE} select symbol, code, count(*) as n, min(session) as first_session from r5 group by 1, 2")
+def reconcile_conventions(spark, sf_dir):
+    """Symbols under different conventions aren't compared; those without a common session say so."""
+    return quality.reconcile(*five(spark, sf_dir)).groupBy("symbol", "code").agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first_session"))
+
+
+@query("convention_comparable", "select * from (values ('spy', true), ('rsp', true), ('iwm', true), ('hyg', false), ('lqd', true)) t(symbol, comparable)")
+def convention_comparable(spark, sf_dir):
+    return quality.comparable(five(spark, sf_dir)[2])
+
+
+@query("cross_source", f"""with {FIVE}, {CONFIRM.replace("from px2", "from s5").replace("from px)", "from px5)")},
+d as (select symbol, count(*) filter (where code = 'sources_disagree') as disagreements, count(*) filter (where code in ('agrees', 'sources_disagree')) as common, bool_or(code = 'convention_mismatch') as mismatch from r5 group by 1),
+c as (select symbol, count(*) filter (where code = 'move_confirmed') as confirmed, count(*) filter (where code <> 'move_confirmed') as unconfirmed from cf group by 1)
+select symbol, case when mismatch then 'convention_mismatch' when common = 0 then 'unverified' when disagreements > 0 then 'disagreed' else 'agreed' end as verdict, disagreements, coalesce(confirmed, 0) as confirmed, coalesce(unconfirmed, 0) as unconfirmed from d left join c using (symbol)""")
+def cross_source(spark, sf_dir):
+    return quality.cross_source(*five(spark, sf_dir))
+
+
+@query("unverifiable", "select distinct l_returnflag as symbol, 'no_independent_source' as code, 'note' as severity, 'quotes come from one feed' as detail from lineitem")
+def unverifiable(spark, sf_dir):
+    return quality.unverifiable(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct(), "quotes come from one feed")
+
+
+@query("stability_only", "select l_returnflag as symbol, count(l_extendedprice) as reads, round(max(l_extendedprice) / min(l_extendedprice) - 1, 6) as spread, 'same_source_stability' as code, 'note' as severity from lineitem group by 1")
+def stability_only(spark, sf_dir):
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_extendedprice").alias("value"))
+    return quality.stability_only(reads).withColumn("spread", F.round("spread", 6))
+
+
+@query("substitutions", "select distinct l_returnflag as symbol, cast(l_linenumber as varchar) as replaced_source, l_linestatus as replacement_source, 'feed ended' as substitution_reason, true as must_pass_same_gates from lineitem")
+def substitutions(spark, sf_dir):
+    swaps = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_linenumber").cast("string").alias("replaced"), F.col("l_linestatus").alias("replacement"), F.lit("feed ended").alias("reason")).distinct()
+    return quality.substitutions(swaps)
+
+
+@query("actions_rejected", """with a as (select o_orderkey as action_id, case o_orderkey % 5 when 0 then 'merger' when 1 then 'dividend' else 'split' end as kind, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then -1.0 else 2.0 end as ratio,
+cast(o_orderdate as date) as effective_at, case when o_orderkey % 13 = 0 then null else cast(o_orderdate as date) - cast(o_custkey % 500 as int) end as known_at from orders)
+select action_id, case when kind not in ('split', 'dividend') then 'unknown kind' when kind = 'split' and not coalesce(ratio > 0, false) then 'split without a ratio' when known_at is null then 'no date' when known_at < effective_at - 365 then 'known more than a year early' end as reason from a where reason is not null""")
+def actions_rejected(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    day = F.to_date("o_orderdate")
+    actions = o.select(
+        k.alias("action_id"),
+        F.when(k % 5 == 0, "merger").when(k % 5 == 1, "dividend").otherwise("split").alias("kind"),
+        F.when(k % 7 == 0, None).when(k % 11 == 0, F.lit(-1.0)).otherwise(F.lit(2.0)).alias("ratio"),
+        day.alias("effective_at"),
+        F.when(k % 13 != 0, F.date_sub(day, (F.col("o_custkey") % 500).cast("int"))).alias("known_at"),
+    )
+    return quality.actions_rejected(actions).select("action_id", "reason")
+
+
+@query("reported_move", "select l_orderkey, l_linenumber, (l_linenumber - 4) / 100 as move from (select l_orderkey, l_linenumber from lineitem)")
+def reported_move(spark, sf_dir):
+    """A move written into a finding's text and read back."""
+    li = table(spark, sf_dir, "lineitem")
+    percent = (F.col("l_linenumber") - 4).cast("int")
+    text = F.concat(F.lit("close moved "), F.when(percent >= 0, F.lit("+")).otherwise(F.lit("")), percent.cast("string"), F.lit(".0% against the bar before"))
+    return li.select("l_orderkey", "l_linenumber", quality.reported_move(text).alias("move"))

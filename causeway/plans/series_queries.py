@@ -95,37 +95,53 @@ def max_drawdown(spark, sf_dir):
     return ledger.with_drawdown(r, ["symbol"]).groupBy("symbol").agg(F.round(F.min("drawdown"), 6).alias("max_drawdown"))
 
 
-MATCHED = f"""{EXPOSURES}, m as (select symbol, session, trailing_or_ewma_volatility_target as baseline, fixed_long_term_trend_rule as candidate from x),
-mr as (select *, case when count(*) {W_}) >= 252 and avg(baseline) {W_}) > 0 then greatest(0, least(2, avg(candidate) {W_}) / avg(baseline) {W_}))) end as ratio from m where baseline is not null and candidate is not null),
-mf as (select *, coalesce(last_value(ratio ignore nulls) {W_} rows between unbounded preceding and current row), first_value(ratio ignore nulls) {W_} rows between current row and unbounded following)) as fr from mr)"""
+def matched_sql(name: str, strategy: str, target: str = ledger.TARGET) -> str:
+    return f"""mr{name} as (select symbol, session, {target} as baseline, case when count({strategy}) {W_}) >= 252 and count({target}) {W_}) >= 252 and avg({target}) {W_}) > 0 then greatest(0, least(2, avg({strategy}) {W_}) / avg({target}) {W_}))) end as ratio from x),
+mf{name} as (select symbol, session, baseline * coalesce(last_value(ratio ignore nulls) {W_} rows between unbounded preceding and current row), first_value(ratio ignore nulls) {W_} rows between current row and unbounded following)) as control from mr{name})"""
 
 
-@query("matched_control", f"with {MATCHED} select symbol, session, round(baseline * fr, 6) as control from mf")
+@query("matched_control", f"with {EXPOSURES}, {matched_sql('', 'fixed_long_term_trend_rule')} select symbol, session, round(control, 6) as control from mf where control is not null")
 def matched_control(spark, sf_dir):
     x = ledger.benchmark_exposures(px(spark, sf_dir))
-    pairs = x.select("symbol", "session", F.col("trailing_or_ewma_volatility_target").alias("baseline"), F.col("fixed_long_term_trend_rule").alias("candidate"))
-    return ledger.matched_control(pairs).select("symbol", "session", F.round("control", 6).alias("control"))
-
-
-BOOT = LEDGER + """,
-pr as (select row_number() over (order by session) - 1 as pos, max(case when strategy = 'fixed_long_term_trend_rule' then ret end) as l, max(case when strategy = 'fixed_low_exposure' then ret end) as r
-       from l where common group by session),
-n as (select count(*) as n from pr),
-ix as (select draw, b * 60 + k as pos, ((draw * 7919 + b * 104729 + 17) * 31 % n + k) % n as source, n from n, range(0, 200) t(draw), range(0, cast(ceil(n / 60) as bigint)) u(b), range(0, 60) v(k)),
-dr as (select draw, ix.pos, l, r from ix join pr on pr.pos = source where ix.pos < n),
-ee as (select *, exp(sum(ln(1 + l)) over (partition by draw order by pos)) as el, exp(sum(ln(1 + r)) over (partition by draw order by pos)) as er from dr),
-dd as (select draw, el / max(el) over (partition by draw order by pos) - 1 as dl, er / max(er) over (partition by draw order by pos) - 1 as dr from ee),
-df as (select draw, min(dl) - min(dr) as diff from dd group by 1)
-select count(*) as draws, round(avg(diff), 6) as mean_difference, round(quantile_cont(diff, 0.025), 6) as low, round(quantile_cont(diff, 0.975), 6) as high,
-       quantile_cont(diff, 0.025) > 0 or quantile_cont(diff, 0.975) < 0 as significant from df"""
+    pairs = x.select("symbol", "session", F.col(ledger.TARGET).alias("baseline"), F.col("fixed_long_term_trend_rule").alias("candidate"))
+    return ledger.matched_control(pairs).where("control is not null").select("symbol", "session", F.round("control", 6).alias("control"))
+
+
+#: Strategies and matched controls as c0, c1, ...: returns, drawn by the same blocks, and the depth of each draw.
+SIDES = [*ledger.STRATEGIES, *(f"matched_{n}" for n in ledger.MATCHED)]
+PAIRS = [(n, ledger.TARGET) for n in ledger.STRATEGIES if n != ledger.TARGET] + [(n, f"matched_{n}") for n in ledger.MATCHED]
+each = lambda f: ", ".join(f.format(k=k) for k in range(len(SIDES)))
+BOOT = f"""{LEDGER}, {', '.join(matched_sql(str(k), n) for k, n in enumerate(ledger.MATCHED))},
+cm as (select distinct symbol, session from u where common),
+{', '.join(f"mc{k} as (select symbol, session, least(greatest(control, 0), 1) as w from mf{k} join cm using (symbol, session)), ml{k} as (select symbol, session, w * r - coalesce(abs(w - lag(w) {W_})), 0) * 2.0 / 10000 as ret from mc{k} join x using (symbol, session))" for k in range(len(ledger.MATCHED)))},
+al as (select symbol, session, strategy, ret from l where common {' '.join(f"union all select symbol, session, 'matched_{n}', ret from ml{k}" for k, n in enumerate(ledger.MATCHED))}),
+pr as (select symbol, session, row_number() {W_}) - 1 as pos, {', '.join(f"max(ret) filter (where strategy = '{c}') as c{k}" for k, c in enumerate(SIDES))} from al group by symbol, session),
+n as (select symbol, count(*) as n from pr group by 1),
+ix as (select symbol, draw, b * 60 + k as pos, ((draw * 7919 + b * 104729 + 17) * 31 % n + k) % n as source, n from n, range(0, 1000) t(draw), range(0, cast(ceil(n / 60) as bigint)) u(b), range(0, 60) v(k)),
+dr as (select ix.symbol, draw, ix.pos, {each('c{k}')} from ix join pr on pr.symbol = ix.symbol and pr.pos = source where ix.pos < n
+       union all select symbol, -1, pos, {each('c{k}')} from pr),
+ee as (select symbol, draw, pos, {each('sum(ln(1 + c{k})) over w as c{k}')} from dr window w as (partition by symbol, draw order by pos)),
+dd as (select symbol, draw, {each('c{k} - max(c{k}) over w as c{k}')} from ee window w as (partition by symbol, draw order by pos)),
+mn as (select symbol, draw, {each('exp(min(c{k})) - 1 as c{k}')} from dd group by 1, 2),
+df as ({' union all '.join(f"select symbol, draw, '{a}' as lhs, '{b}' as rhs, c{SIDES.index(a)} - c{SIDES.index(b)} as diff from mn" for a, b in PAIRS)}),
+bt as (select symbol, lhs, rhs, count(*) filter (where draw >= 0) as draws, round(max(diff) filter (where draw < 0), 6) as difference, round(quantile_cont(diff, 0.025) filter (where draw >= 0), 6) as low, round(quantile_cont(diff, 0.975) filter (where draw >= 0), 6) as high,
+       quantile_cont(diff, 0.025) filter (where draw >= 0) > 0 or quantile_cont(diff, 0.975) filter (where draw >= 0) < 0 as significant from df group by 1, 2, 3)"""
+
+
+@query("paired_bootstrap", f'with {BOOT} select symbol, lhs as "left", rhs as "right", (select n from n) as observations, draws, difference, low, high, significant from bt')
+def paired_bootstrap(spark, sf_dir):
+    """All seven comparisons, a thousand draws each."""
+    return ledger.paired_bootstrap(ledger.with_matched_returns(ledger.benchmark_exposures(px(spark, sf_dir))), PAIRS)
 
 
-@query("paired_bootstrap", "with " + BOOT)
-def paired_bootstrap(spark, sf_dir):
-    r = ledger.ledger_returns(ledger.benchmark_exposures(px(spark, sf_dir))).where("common")
-    wide = r.groupBy("symbol", "session").pivot("strategy", ["fixed_long_term_trend_rule", "fixed_low_exposure"]).agg(F.first("ret"))
-    pos = wide.select((F.row_number().over(ts.series("symbol")) - 1).cast("long").alias("pos"), F.col("fixed_long_term_trend_rule").alias("left"), F.col("fixed_low_exposure").alias("right"))
-    return ledger.paired_bootstrap(pos, 200)
+@query("compare_against_benchmarks", f"""with {BOOT},
+q as (select *, exp(sum(ln(1 + ret)) over (partition by symbol, strategy order by session)) as eq from l where common),
+z as (select *, eq / max(eq) over (partition by symbol, strategy order by session rows between unbounded preceding and current row) - 1 as depth from q),
+pf as (select symbol, strategy, count(*) as days, round(avg(ret) * 252, 6) as annual_return, round(stddev_samp(ret) * sqrt(252), 6) as annual_volatility, round(min(depth), 6) as max_drawdown, round(avg(weight), 6) as average_exposure from z group by 1, 2)
+select pf.*, {', '.join(f'{a}.{c} as {p}_{c}' for a, p in (('t', 'target'), ('m', 'matched')) for c in ('difference', 'low', 'high', 'significant'))}
+from pf left join bt t on t.lhs = strategy and t.rhs = '{ledger.TARGET}' left join bt m on m.lhs = strategy and m.rhs <> '{ledger.TARGET}'""")
+def compare_against_benchmarks(spark, sf_dir):
+    return ledger.compare_against_benchmarks(px(spark, sf_dir))
 
 
 CONDITIONAL = f"""{EXPOSURES}, v as (select symbol, session, i, p, trend, vol as x,

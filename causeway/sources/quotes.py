@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.timeseries import cleaned
@@ -72,3 +72,26 @@ def request_log(events: DataFrame) -> DataFrame:
     """begin, complete and fail events -> one row per request with its last state; a request without an end is pending."""
     g = events.groupBy("generation", "request_id").agg(F.min(F.when(F.col("event") == "begin", F.col("at"))).alias("requested_at"), F.max(F.when(F.col("event") != "begin", F.col("at"))).alias("completed_at"), F.max_by("event", F.struct("at", F.col("event") != "begin")).alias("last"), F.max_by("error", "at").alias("error"))
     return g.select("generation", "request_id", "requested_at", "completed_at", F.when(F.col("last") == "begin", "pending").when(F.col("last") == "fail", "failed").otherwise(F.col("last")).alias("state"), "error")
+
+
+def batch(contracts: DataFrame, ticks: DataFrame, started: str, wait_seconds: float = 12.0) -> DataFrame:
+    """con_id and the last tick that came within one wait after all were asked; a contract without one keeps its row.
+
+    `ticks`: con_id, received_at and values. Later ticks belong to another batch: prices are never read again.
+    """
+    start = F.lit(started).cast("timestamp")
+    values = [c for c in ticks.columns if c != "con_id"]
+    inside = ticks.where((F.col("received_at") >= start) & (F.col("received_at") <= start + F.make_interval(secs=F.lit(wait_seconds))))
+    last = inside.groupBy("con_id").agg(F.max_by(F.struct(*values), "received_at").alias("x")).select("con_id", "x.*")
+    return contracts.join(last, "con_id", "left")
+
+
+BARS = "symbol string, session date, open double, high double, low double, close double, volume double"
+
+
+def historical_bars(spark: SparkSession, path: str, duration: str, what: str = "TRADES", regular_hours: bool = True, allowed: bool = False) -> DataFrame:
+    """Landed daily bars with what was asked for beside each row. Asking a broker for history is a decision: without it, an error."""
+    if not allowed:
+        raise PermissionError("historical bars weren't allowed")
+    bars = spark.read.schema(BARS).json(path)
+    return bars.withColumns({"duration": F.lit(duration), "what": F.lit(what), "regular_hours": F.lit(regular_hours)})

@@ -79,6 +79,42 @@ def notifications(labels: DataFrame, rules: EventRules = EventRules()) -> DataFr
     return once.groupBy("label").applyInPandas(fold, NOTES)
 
 
+def standing(labels: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
+    """(label, session, open): whether a confirmed event stands after each session, which is what a reader is told."""
+    once = labels.groupBy("label", "session").agg(F.bool_or("present").alias("present"))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        machine, stands = Machine(), []
+        pdf = pdf.sort_values("session")
+        for session, present in zip(pdf["session"], pdf["present"], strict=True):
+            machine.observe(bool(present), session, rules)
+            stands.append(machine.confirmed is not None)
+        return pd.DataFrame({"label": key[0], "session": pdf["session"], "open": stands})
+
+    return once.groupBy("label").applyInPandas(fold, "label string, session date, open boolean")
+
+
+def active(labels: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
+    """Events still running after the last session, one per label at most: when first and last seen, how often, and whether confirmed."""
+    once = labels.groupBy("label", "session").agg(F.bool_or("present").alias("present"))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        machine, last = Machine(), None
+        pdf = pdf.sort_values("session")
+        for session, present in zip(pdf["session"], pdf["present"], strict=True):
+            machine.observe(bool(present), session, rules)
+            last = session if present else last
+        rows = [] if machine.first_seen is None else [(key[0], machine.first_seen, last, machine.seen, machine.absent, machine.confirmed)]
+        return pd.DataFrame(rows, columns=["label", "first_seen", "last_seen", "seen", "absent", "confirmed_on"])
+
+    return once.groupBy("label").applyInPandas(fold, "label string, first_seen date, last_seen date, seen int, absent int, confirmed_on date")
+
+
+def open_events(labels: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
+    """The confirmed ones of `active`."""
+    return active(labels, rules).where("confirmed_on is not null")
+
+
 def stream_notifications(labels: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
     """The same over a stream: sessions must reach the operator in order, later ones in later batches."""
 
