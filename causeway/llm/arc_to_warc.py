@@ -11,7 +11,9 @@ found by a pre-aggregated maximum for each digest; payloads themselves don't mee
 
 Defined results: null html is an empty payload; a null url is an empty one; page_id null stays null and is smaller
 than all; repeated rows that are the one to refer to are all responses; an empty table gives no rows; other
-columns are ignored. Archives are cut at ARCHIVE_BYTES, so a worker's memory is bounded by that and one record.
+columns are ignored. Archives are cut at ARCHIVE_BYTES, so a worker's memory is bounded by that and one record. A head may
+end its lines with LF alone; a foreign X-Page-Id that is no number of 64 bits counts as none, and the record's key is then
+a hash of its header line and payload; a head without a blank line is all head.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from causeway.llm.common import map_batches, stored, table
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 4 << 20
+#: What a record takes besides its body, about.
+HEADER_BYTES = 200
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The fields of header lines by version of the ARC format.
 FIELDS = {
@@ -40,6 +46,11 @@ FIELDS = {
 }
 
 
+#: The blank line after a head; archives of that age often end lines with a bare LF.
+BLANK = re.compile(rb"\r?\n\r?\n")
+PAGE = re.compile(r"-?[0-9]{1,19}")
+
+
 @dataclass(frozen=True)
 class ArcRecord:
     fields: dict[str, str]
@@ -121,24 +132,35 @@ def split_http(body: bytes) -> tuple[bytes, bytes]:
     """Head (with its blank line) and payload; a body that isn't HTTP is all payload."""
     if not body.startswith(b"HTTP/"):
         return b"", body
-    cut = body.find(b"\r\n\r\n")
-    return (body[: cut + 4], body[cut + 4 :]) if cut >= 0 else (body, b"")
+    cut = BLANK.search(body)
+    return (body[: cut.end()], body[cut.end() :]) if cut else (body, b"")
 
 
 def head_value(head: bytes, name: bytes) -> str | None:
-    for line in head.split(b"\r\n"):
+    for line in head.split(b"\n"):
         k, _, v = line.partition(b":")
         if k.strip().lower() == name:
-            return v.strip().decode()
+            return v.strip().decode("utf-8", "replace")
     return None
 
 
+def own_key(head: bytes) -> tuple[bool, int | None]:
+    """Whether a head names a page of ours, and which; a foreign header of that name doesn't."""
+    own = head_value(head, b"x-page-id")
+    if own == "null":
+        return True, None
+    if own is not None and PAGE.fullmatch(own) and -(2**63) <= int(own) < 2**63:
+        return True, int(own)
+    return False, None
+
+
 def to_warc(record: ArcRecord, refers_to: int | None = None, revisit: bool = False) -> bytes:
     """One WARC record. `refers_to`: the key of the record that holds the payload, if this is a revisit."""
     head, payload = split_http(record.body)
     digest = hashlib.sha1(payload).digest()
-    own = head_value(head, b"x-page-id")
-    key = int(own) if own is not None and own != "null" else None if own else int.from_bytes(hashlib.sha1(repr(sorted(record.fields.items())).encode() + digest).digest()[:8], "big", signed=True)
+    ours, key = own_key(head)
+    if not ours:
+        key = int.from_bytes(hashlib.sha1(repr(sorted(record.fields.items())).encode() + digest).digest()[:8], "big", signed=True)
     block = head if revisit else record.body
     fields = {
         "WARC-Type": "revisit" if revisit else "response" if head else "resource",
@@ -169,10 +191,19 @@ def convert(arc: bytes, refers: Iterable[tuple[bool, int | None]] | None = None)
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a WARC file with one gzip member per record."""
-    while data:
+    view, at = memoryview(data), 0
+    while at < len(view):
+        # A record is fed bit by bit, so that the rest of the archive isn't copied for each.
         z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+        parts = []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a record without an end")
+            fed = view[at : at + 4096]
+            parts.append(z.decompress(fed))
+            at += len(fed)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         top, _, rest = raw.partition(b"\r\n\r\n")
         lines = top.decode("utf-8", "surrogatepass").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -188,9 +219,10 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[ArcRecord] = []
     refers: list[tuple[bool, int | None]] = []
     size = serial = 0
+    part = TaskContext.get().partitionId()
 
     def done() -> pa.RecordBatch:
-        version = 1 + serial % 2
+        version = 1 + (part + serial) % 2
         arc = write_arc(version, f"part-{serial:05d}.arc", waiting)
         return pa.RecordBatch.from_arrays([pa.array([len(waiting)], pa.int64()), pa.array([convert(arc, refers)], pa.binary())], ["records", "warc"])
 
@@ -201,7 +233,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields = {"URL": url or "", "IP-address": "0.0.0.0", "Archive-date": "20240101000000", "Content-type": "text/html", "Result-code": "200"}
             waiting.append(ArcRecord(fields, head.encode() + payload))
             refers.append((revisit, to))
-            size += len(payload)
+            size += len(payload) + len(head) + HEADER_BYTES
             if size >= ARCHIVE_BYTES:
                 yield done()
                 waiting, refers, size = [], [], 0
@@ -248,6 +280,32 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return stored(map_batches(with_revisits(pages), _archives, "records long, warc binary"), "archives")
 
 
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Each archive as a `.warc.gz` file of its own in a folder that executors share (any file system that Arrow knows): path, records, bytes.
+
+    A file is named by its content and put in place whole, so a task that runs again changes nothing.
+    """
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as files
+
+        fs, root = files.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            rows = []
+            for records, warc in zip(b["records"].to_pylist(), b["warc"].to_pylist(), strict=True):
+                name = f"{hashlib.sha1(warc).hexdigest()}.warc.gz"
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as out:
+                    out.write(warc)
+                fs.move(part, f"{root}/{name}")
+                rows.append((f"{folder}/{name}", records, len(warc)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
+
+    return stored(map_batches(archives.select("records", "warc"), f, "path string, records long, bytes long"), "exported")
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     return map_batches(archives.select("warc"), _records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
