@@ -10,8 +10,9 @@ inside texts can't end a turn and the way back is exact. In a role, backslashes
 escaped too.
 
 Defined results: null text or role is empty; rows of a conversation go by (turn, role, text), nulls first,
-repeated rows stay; a null conv_id is a conversation of its own; an empty table gives no rows; other columns
-are ignored. One conversation is one output value, so a worker holds one conversation and one batch at a time.
+repeated rows stay; each row with a null conv_id is a conversation of its own; an empty table gives no rows; other columns
+are ignored. One conversation is one output value, so a worker holds one conversation and one batch at a time; very long
+texts are copied without indices, and a conversation of over MOST_BYTES is an error, for no string column can hold it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import map_batches, table
 
+MOST_BYTES = 2**31 - 1
 OPEN, MIDDLE, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 FORMATTED = "conv_id long, formatted string, loss_starts array<int>, loss_ends array<int>, n_turns long"
@@ -48,12 +50,25 @@ def unescape_text(raw: bytes) -> bytes:
     return re.sub(rb"<\\(\\*)\|", rb"<\1|", raw) if b"<\\" in raw else raw
 
 
+#: Segments of this many bytes are copied as they are; shorter ones by indices, of so many bytes at a time.
+LONG_SEGMENT, AT_ONCE = 4096, 1 << 18
+
+
 def _scatter(out: np.ndarray, at: np.ndarray, source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy source[start[i]:start[i]+length[i]] to out[at[i]:] for all i in one indexed move."""
-    total = int(length.sum())
-    if total:
-        step = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(at, length) + step] = source[np.repeat(start, length) + step]
+    """Copy source[start[i]:start[i]+length[i]] to out[at[i]:] for all i: short segments in indexed moves of bounded size."""
+    long = length >= LONG_SEGMENT
+    for i in np.flatnonzero(long).tolist():
+        out[at[i] : at[i] + length[i]] = source[start[i] : start[i] + length[i]]
+    at, start, length = at[~long], start[~long], length[~long]
+    ends = np.cumsum(length)
+    first = 0
+    while first < len(length):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+        n = length[first:last]
+        step = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[first:last], n) + step] = source[np.repeat(start[first:last], n) + step]
+        first = last
 
 
 def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array, train_role: str = "assistant") -> pa.RecordBatch:
@@ -82,10 +97,12 @@ def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array, train_role: str =
     # Turns to conversations.
     ids, null = pc.fill_null(conv, 0).to_numpy(zero_copy_only=False), pc.is_null(conv).to_numpy(zero_copy_only=False)
     new = np.ones(n, dtype=bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
+    new[1:] = (ids[1:] != ids[:-1]) | null[1:] | null[:-1]
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     bounds = np.append(begins[first], out.size).astype(np.int64)
+    if n and int(np.diff(bounds).max()) > MOST_BYTES:
+        raise ValueError(f"a conversation of over {MOST_BYTES} bytes can't be one string")
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(out)).cast(pa.string())
     starts = (begins + head - bounds[group])[trained].astype(np.int32)
     stops = (begins + head + body - bounds[group])[trained].astype(np.int32)
@@ -108,15 +125,16 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         last = b["conv_id"][-1].as_py()
-        same = pc.is_null(b["conv_id"]) if last is None else pc.fill_null(pc.equal(b["conv_id"], last), False)
-        cut = b.num_rows - pc.sum(same.cast(pa.int64())).as_py()
+        # Rows without an id are a conversation each, so none of them waits for more.
+        cut = b.num_rows if last is None else b.num_rows - pc.sum(pc.fill_null(pc.equal(b["conv_id"], last), False).cast(pa.int64())).as_py()
         if cut:
             yield from done([*waiting, b.slice(0, cut)])
             waiting = []
         elif waiting and waiting[0]["conv_id"][0].as_py() != last:
             yield from done(waiting)
             waiting = []
-        waiting.append(b.slice(cut))
+        if cut < b.num_rows:
+            waiting.append(b.slice(cut))
     if waiting:
         yield from done(waiting)
 
@@ -124,7 +142,9 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chat(turns: DataFrame) -> DataFrame:
     """One row per conversation: the formatted string and the byte ranges that the loss covers."""
     rows = turns.select("conv_id", "turn", "role", "text")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # A null id is no common key: such rows are dealt out by what they hold.
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    rows = rows.repartition(F.coalesce("conv_id", alone)).sortWithinPartitions("conv_id", "turn", "role", "text")
     return map_batches(rows.select("conv_id", "role", "text"), _format, FORMATTED)
 
 
@@ -170,14 +190,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: "||" joins without loss here: no text or role is null after coalesce.
 SQL_OP10 = """
-with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
-           union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-           union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+with t as (select conv_id, case when conv_id is null then row_number() over () end as own, turn, role, coalesce(text, '') as text from conversations
+           union all select -1, null, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+           union all select -1, null, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 g as (select conv_id, count(*) as n_turns,
              sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
              coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
              sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10))) as formatted_chars
-      from t group by conv_id)
+      from t group by conv_id, own)
 select conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
        cast(formatted_chars as bigint) as formatted_chars from g
 """
