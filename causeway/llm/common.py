@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from causeway.session import reachable, shared_folder
 
 #: Bytes of text in one Arrow batch handed to a Python worker.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 2000
 
 
