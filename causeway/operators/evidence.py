@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from causeway.functions import timeseries as ts
@@ -43,36 +47,50 @@ def indicator_values(prices: DataFrame, macro: DataFrame) -> DataFrame:
         (F.col("ewm") * F.sqrt(F.lit(252.0)) * 100).alias("ewma_vol_lambda94"),
     )
     long = own.unpivot(["session"], own.columns[1:], "name", "value")
-    for name, (a, b) in {"rsp_over_spy": ("rsp", "spy"), "iwm_over_spy": ("iwm", "spy"), "hyg_over_lqd": ("hyg", "lqd")}.items():
-        long = long.unionByName(peer_ratio(prices, a, b).select("session", F.lit(name).alias("name"), F.col("change_63").alias("value")))
+    ratios = peer_ratios(prices, {"rsp_over_spy": ("rsp", "spy"), "iwm_over_spy": ("iwm", "spy"), "hyg_over_lqd": ("hyg", "lqd")})
+    long = long.unionByName(ratios.select("session", F.col("pair").alias("name"), F.col("change_63").alias("value")))
     return long.unionByName(macro.select("session", F.col("series").alias("name"), "value"))
 
 
-def peer_ratio(prices: DataFrame, a: str, b: str) -> DataFrame:
-    """session, ratio and its 63-session change, on sessions that both have."""
-    side = lambda s, out: prices.where(F.col("symbol") == s).select("session", F.col("p").alias(out))
-    r = side(a, "pa").join(side(b, "pb"), "session").select(F.lit(f"{a}/{b}").alias("pair"), "session", F.try_divide(F.col("pa"), F.col("pb")).alias("ratio"))
+def peer_ratios(prices: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """pair, session, ratio and its 63-session change, each on the sessions that both have: one pivot for all pairs."""
+    symbols = sorted({s for p in pairs.values() for s in p})
+    wide = prices.groupBy("session").pivot("symbol", symbols).agg(F.first("p"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("pair"), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.try_divide(F.col(a), F.col(b)).alias("ratio"))).alias("r")) for n, (a, b) in pairs.items()))).alias("x")
+    r = wide.select("session", each).where("x.r is not null").select("x.pair", "session", "x.r.ratio")
     return r.withColumn("change_63", ts.pct_change(F.col("ratio"), ts.series("pair"), 63))
 
 
+def peer_ratio(prices: DataFrame, a: str, b: str) -> DataFrame:
+    return peer_ratios(prices, {f"{a}/{b}": (a, b)})
+
+
 def evidence(values: DataFrame, minimum: int = 252) -> DataFrame:
     """One row per indicator: last value, changes over 1, 5, 20 observations, causal rank of the last, coverage.
 
-    The rank compares the last value with all before it: one pass and one join of a row per indicator, no window over pairs.
+    One exchange by name: windows number the observations and carry each indicator's last one to all its rows, and one
+    aggregation reads off the rest.
     """
-    v = values.where("value is not null")
-    w = ts.series("name")
-    v = v.withColumns({f"change_{n}": ts.change(F.col("value"), w, n) for n in (1, 5, 20)})
-    last = v.groupBy("name").agg(F.max_by(F.struct("session", "value", "change_1", "change_5", "change_20"), "session").alias("x"), F.count(F.lit(1)).alias("n")).select("name", "x.*", "n")
-    at = last.select("name", F.col("session").alias("as_of"), F.col("value").alias("now"))
-    rank = v.join(F.broadcast(at), "name").where("session < as_of").groupBy("name").agg(F.count(F.when(F.col("value") < F.col("now"), 1)).alias("below"), F.count(F.lit(1)).alias("earlier"))
-    recent = values.withColumn("k", F.row_number().over(w.orderBy(F.col("session").desc()))).where("k <= 252").groupBy("name").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("coverage"))
-    out = last.join(rank, "name", "left").join(recent, "name", "left")
+    w, whole, back = ts.series("name"), W.partitionBy("name"), W.partitionBy("name").orderBy(F.col("session").desc())
+    v = values.withColumns({"seq": F.count("value").over(w), "n": F.count("value").over(whole), "k": F.row_number().over(back)})
+    v = v.withColumn("now", F.max(F.when(F.col("value").isNotNull() & (F.col("seq") == F.col("n")), F.col("value"))).over(whole))
+    there = F.col("value").isNotNull()
+    ago = lambda d: F.max(F.when(there & (F.col("seq") == F.col("n") - d), F.col("value")))
+    earlier = there & (F.col("seq") < F.col("n"))
+    out = v.where("n > 0").groupBy("name").agg(
+        F.max("n").alias("n"),
+        F.max(F.when(there, F.col("session"))).alias("as_of"),
+        F.max("now").alias("value"),
+        *((F.max("now") - ago(d)).alias(f"change_{d}") for d in (1, 5, 20)),
+        F.count(F.when(earlier & (F.col("value") < F.col("now")), 1)).alias("below"),
+        F.count(F.when(earlier, 1)).alias("earlier"),
+        F.avg(F.when(F.col("k") <= 252, there.cast("int"))).alias("coverage"),
+    )
     ranked = F.when(F.col("n") >= minimum, F.try_divide(F.col("below"), F.col("earlier")))
     meta = F.lit(None).cast("struct<dimension:string,riskier:boolean,overlap_with:string>")
     for name, (d, up, over) in CATALOGUE.items():
         meta = F.when(F.col("name") == name, F.struct(F.lit(d).alias("dimension"), F.lit(up).alias("riskier"), F.lit(over).cast("string").alias("overlap_with"))).otherwise(meta)
-    return out.withColumn("m", meta).select("name", "m.dimension", "m.riskier", "m.overlap_with", F.col("session").alias("as_of"), "value", "change_1", "change_5", "change_20", ranked.alias("percentile"), "coverage").withColumns({"direction": direction(), "risk_rank": risk_rank()})
+    return out.withColumn("m", meta).select("name", "m.dimension", "m.riskier", "m.overlap_with", "as_of", "value", "change_1", "change_5", "change_20", ranked.alias("percentile"), "coverage").withColumns({"direction": direction(), "risk_rank": risk_rank()})
 
 
 def direction() -> Column:
@@ -135,3 +153,32 @@ def leaning(labels: DataFrame, grade: Column | None = None) -> DataFrame:
     out = labels.withColumn("rung", rung)
     g = grade if grade is not None else F.lit(LabelRules().grade)
     return out.withColumn("leaning", F.when(g == "UNTESTED", "DATA_INSUFFICIENT").otherwise(F.col("rung")))
+
+
+def described(found: DataFrame) -> dict[str, Any]:
+    """The evidence for a reader: indicators by dimension, what is missing, and what contradicts. A dozen rows: the catalogue bounds them."""
+    rows = [r.asDict() for r in found.orderBy("name").collect()]
+    small = found.sparkSession.createDataFrame(rows, found.schema) if rows else found
+    by: dict[str, list[dict[str, Any]]] = {}
+    for r in rows:
+        by.setdefault(r["dimension"], []).append({k: r[k] for k in ("name", "value", "percentile", "direction", "coverage", "as_of")})
+    missing = [r["dimension"] for r in missing_dimensions(small).where("not covered").orderBy("dimension").collect()]
+    return {"dimensions": by, "missing": missing, "contradictions": [r.asDict() for r in contradictions(small).collect()]}
+
+
+def with_missing(found: DataFrame) -> DataFrame:
+    """All indicators of the catalogue, with the reason where one has no value: no data, or too little for a rank."""
+    rows = [(n, d, up, over) for n, (d, up, over) in CATALOGUE.items()]
+    every = found.sparkSession.createDataFrame(rows, "name string, dimension string, riskier boolean, overlap_with string")
+    out = every.join(found.drop("dimension", "riskier", "overlap_with"), "name", "left")
+    return out.withColumn("missing_reason", F.when(F.col("value").isNull(), "no data").when(F.col("percentile").isNull(), "too few observations for a rank"))
+
+
+def promoted(rules: LabelRules, grade: str, evidence: dict[str, Any]) -> LabelRules:
+    """The rules one rung up the ladder, for which evidence must be named."""
+    rungs = ("UNTESTED", "REPLAYED", "SHADOWED", "TESTED")
+    if grade not in rungs or rungs.index(grade) != rungs.index(rules.grade) + 1:
+        raise ValueError(f"{rules.grade} isn't followed by {grade}")
+    if not evidence or any(v in (None, "") for v in evidence.values()):
+        raise ValueError("a promotion names its evidence")
+    return replace(rules, grade=grade)

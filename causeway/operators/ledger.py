@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +118,12 @@ def _depth(returns: np.ndarray) -> np.ndarray:
 DRAWS_A_ROW = 50
 
 
-def bootstrap_depths(wide: DataFrame, columns: list[str], draws: int, block: int = 60) -> DataFrame:
-    """symbol, session and returns -> (symbol, draw, name, depth), all columns drawn by the same blocks.
+#: rows of returns -> one number for each row
+Statistic = Callable[[np.ndarray], np.ndarray]
+
+
+def bootstrap_depths(wide: DataFrame, columns: list[str], draws: int, block: int = 60, statistic: Statistic = _depth) -> DataFrame:
+    """symbol, session and returns -> (symbol, draw, name, depth), all columns drawn by the same blocks; `depth` is the statistic of a draw.
 
     A symbol's returns are one array for each column (as long as the calendar) that goes to every task of its draws; draws spread
     over tasks. Symbols with fewer sessions than a block have no draws.
@@ -135,7 +139,7 @@ def bootstrap_depths(wide: DataFrame, columns: list[str], draws: int, block: int
                 returns = np.array([b[c][i].as_py() for c in columns], dtype=float)
                 symbol, first = b["symbol"][i].as_py(), b["first"][i].as_py()
                 last = min(first + DRAWS_A_ROW, draws)
-                depth = np.array([_depth(returns[:, block_source(returns.shape[1], block, d)]) for d in range(first, last)])
+                depth = np.array([statistic(returns[:, block_source(returns.shape[1], block, d)]) for d in range(first, last)])
                 n = depth.size
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([symbol] * n, pa.string()), pa.array(np.repeat(np.arange(first, last), len(columns))), pa.array(columns * (last - first)), pa.array(depth.ravel(), from_pandas=True)],

@@ -85,3 +85,23 @@ def state_labels(spark, sf_dir):
 when volatility_elevated and not trend_damaged and not stress_spreading then 'HEDGE' when trend_damaged or volatility_elevated or stress_spreading or repair_underway then 'WATCH' else 'NO_NEW_DEFENSE' end as rung, 'DATA_INSUFFICIENT' as leaning from lb""")
 def leaning(spark, sf_dir):
     return evidence.leaning(evidence.state_labels(found(spark, sf_dir)))
+
+
+@query("evidence_missing", f"with {VALUES} select c.name, c.dimension, case when value is null then 'no data' when percentile is null then 'too few observations for a rank' end as missing_reason from cat c left join ev using (name)")
+def evidence_missing(spark, sf_dir):
+    return evidence.with_missing(found(spark, sf_dir)).select("name", "dimension", "missing_reason")
+
+
+#: Every combination of labels, by the orders' keys.
+FLAGS16 = "fl as (select o_orderkey, o_orderkey % 2 = 1 as trend_damaged, (o_orderkey // 2) % 2 = 1 as volatility_elevated, (o_orderkey // 4) % 2 = 1 as stress_spreading, (o_custkey % 2) = 1 as repair_underway, o_custkey % 3 = 0 as tested from orders)"
+
+
+@query("leaning_ladder", f"""with {FLAGS16}, r as (select *, case when trend_damaged and (volatility_elevated or stress_spreading) then 'REDUCTION' when repair_underway and (trend_damaged or volatility_elevated or stress_spreading) then 'CONFLICTED'
+when volatility_elevated and not trend_damaged and not stress_spreading then 'HEDGE' when trend_damaged or volatility_elevated or stress_spreading or repair_underway then 'WATCH' else 'NO_NEW_DEFENSE' end as rung from fl)
+select o_orderkey, rung, case when tested then rung else 'DATA_INSUFFICIENT' end as leaning from r""")
+def leaning_ladder(spark, sf_dir):
+    """Every rung, with and without a grade."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    bit = lambda c, k: F.pmod(F.floor(F.col(c) / k), F.lit(2)) == 1
+    rows = o.select("o_orderkey", bit("o_orderkey", 1).alias("trend_damaged"), bit("o_orderkey", 2).alias("volatility_elevated"), bit("o_orderkey", 4).alias("stress_spreading"), bit("o_custkey", 1).alias("repair_underway"), F.when(F.col("o_custkey") % 3 == 0, "TESTED").otherwise("UNTESTED").alias("grade"))
+    return evidence.leaning(rows, F.col("grade")).select("o_orderkey", "rung", "leaning")

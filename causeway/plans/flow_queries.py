@@ -49,6 +49,19 @@ def standing_sql(lb: str, out: str) -> str:
 {out} as (select label, i, confirmed as open from {out}m where i >= 0)"""
 
 
+COST = f"""with recursive {LABELS}, {standing_sql('lb', 'st')},
+op as (select label, i, lag(i) over (partition by label order by i) as before from (select label, i, open and not coalesce(lag(open) over (partition by label order by i), false) as up from st) where up),
+dl as (select o.label, o.i - min(l.i) as delay from op o join lb l on l.label = o.label and l.present and l.i > coalesce(o.before, -1) and l.i <= o.i group by o.label, o.i),
+rn as (select label, count(*) as n from (select label, i - row_number() over (partition by label order by i) as island from lb where present) group by label, island)
+select label, (select count(*) from rn where rn.label = a.label and n < 3) as flickers, (select count(*) from dl where dl.label = a.label) as opened, (select median(delay)::double from dl where dl.label = a.label) as median_delay, (select max(delay)::double from dl where dl.label = a.label) as worst_delay
+from (select distinct label from lb) a"""
+
+
+@query("confirmation_cost", COST)
+def confirmation_cost(spark, sf_dir):
+    return machine.confirmation_cost(labels(spark, sf_dir), EventRules())
+
+
 @query("standing_events", f"with recursive {LABELS}, {standing_sql('lb', 'st')} select label, session, open from st join lb using (label, i)")
 def standing_events(spark, sf_dir):
     return machine.standing(labels(spark, sf_dir))
@@ -111,11 +124,6 @@ def stage(spark) -> str:
     return shared_folder(spark)
 
 
-@query("confirmation_cost")
-def confirmation_cost(spark, sf_dir):
-    return machine.confirmation_cost(labels(spark, sf_dir), EventRules())
-
-
 @query("tumbling_window", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def tumbling_window(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -230,9 +238,27 @@ def full_outer_alignment(spark, sf_dir):
     return wide.select("session", *(F.round(c, 4).alias(c) for c in wide.columns[1:]))
 
 
-@query("calendar_sessions")
+#: The exchange's rules in SQL: holidays by weekday and by observed date, Good Friday, closures of their own, and New York's clock.
+CALENDAR = f"""with dy as (select cast(d as date) as session from generate_series(timestamp '2000-01-01', timestamp '2026-12-31', interval 1 day) t(d)),
+pt as (select session, year(session) as y, month(session) as m, day(session) as k, isodow(session) as w from dy where isodow(session) < 6),
+ey as (select y, y % 19 as a, y // 100 as b, y % 100 as c from range(2000, 2027) t(y)),
+eh as (select *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 as h from ey),
+el as (select *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 as l from eh),
+em as (select *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 as q from el),
+gf as (select cast(make_date(y, q // 31, q % 31 + 1) as date) - 2 as session from em),
+ho as (select session from pt where (m = 1 and w = 1 and k between 15 and 21) or (m = 2 and w = 1 and k between 15 and 21) or (m = 5 and w = 1 and k >= 25) or (m = 9 and w = 1 and k <= 7) or (m = 11 and w = 4 and k between 22 and 28)
+  or (m = 7 and (k = 4 or (k = 3 and w = 5) or (k = 5 and w = 1))) or (m = 12 and (k = 25 or (k = 24 and w = 5) or (k = 26 and w = 1))) or (y >= 2022 and m = 6 and (k = 19 or (k = 18 and w = 5) or (k = 20 and w = 1))) or (m = 1 and (k = 1 or (k = 2 and w = 1)))
+  union select session from gf union select cast(x as date) from (values {', '.join(f"('{d}')" for d in calendar.ONE_OFF)}) t(x)),
+op as (select *, (m = 11 and w = 5 and k between 23 and 29) or (m = 12 and k = 24) or (m = 7 and k = 3) as early,
+  case when y >= 2007 then session > make_date(y, 3, 8) + cast((7 - isodow(make_date(y, 3, 8))) % 7 as int) and session < make_date(y, 11, 1) + cast((7 - isodow(make_date(y, 11, 1))) % 7 as int)
+       else session > make_date(y, 4, 1) + cast((7 - isodow(make_date(y, 4, 1))) % 7 as int) and session < make_date(y, 10, 31) - cast(isodow(make_date(y, 10, 31)) % 7 as int) end as summer from pt where session not in (select session from ho))
+select session, session + interval 9 hours + interval 30 minutes + case when summer then interval 4 hours else interval 5 hours end as open_utc, session + case when early then interval 13 hours else interval 16 hours end + case when summer then interval 4 hours else interval 5 hours end as close_utc from op"""
+
+
+@query("calendar_sessions", CALENDAR)
 def calendar_sessions(spark, sf_dir):
-    return calendar.calendar(spark, "2000-01-01", "2026-12-31")
+    c = calendar.calendar(spark, "2000-01-01", "2026-12-31")
+    return c.select("session", F.col("open_utc").cast("timestamp_ntz").alias("open_utc"), F.col("close_utc").cast("timestamp_ntz").alias("close_utc"))
 
 
 @query("session_age", "with s as (select distinct cast(o_orderdate as date) as session from orders), m as (select o_custkey, max(cast(o_orderdate as date)) + 3 as latest from orders group by 1) select o_custkey, latest, greatest(0, (select count(*) from s where session <= date '2001-06-30') - (select count(*) from s where session <= latest)) as age from m")

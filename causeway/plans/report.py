@@ -58,6 +58,53 @@ def _lines(value: Any) -> list[str]:
     return [f"- {shown(v)}" for v in value] or ["—"]
 
 
+def percent(value: Any, digits: int = 1) -> str:
+    return "—" if value is None or value != value else f"{value * 100:.{digits}f} %"
+
+
+def money(value: Any) -> str:
+    return "—" if value is None or value != value else f"{value:,.2f}"
+
+
+def indicator_table(rows: list[dict[str, Any]]) -> list[dict[str, str]]:
+    """Indicators by falling risk; those without a rank come last."""
+    ranked = sorted(rows, key=lambda r: (r.get("risk_rank") is None, -(r.get("risk_rank") or 0), r["name"]))
+    return [{"indicator": r["name"], "value": shown(r.get("value")), "change over 20": shown(r.get("change_20")), "rank": percent(r.get("risk_rank"), 0), "direction": r.get("direction") or "—"} for r in ranked]
+
+
+def scenario_table(rows: list[dict[str, Any]]) -> list[dict[str, str]]:
+    """Candidates and controls beside each other, first of equal (symbol, label) rows."""
+    seen: dict[tuple[Any, Any], dict[str, Any]] = {}
+    for r in rows:
+        seen.setdefault((r.get("symbol"), r.get("label")), r)
+    return [{"choice": str(r.get("label") or "—"), "cost": money(r.get("cost")), "share": percent(r.get("cost_share"), 2), "worst": money(r.get("worst")), "flat": money(r.get("flat")), "best": money(r.get("best"))} for r in seen.values()]
+
+
+def condition_lines(triggers: list[dict[str, Any]]) -> list[str]:
+    """What would change the reading: ranks at which an indicator is looked at again."""
+    return [f"{t['name']}: above {percent(t['above'], 0)} or below {percent(t['below'], 0)}" for t in triggers if t.get("above") is not None and t.get("below") is not None]
+
+
+def method_lines(rules: dict[str, Any], grade: str) -> list[str]:
+    return [f"{k}: {shown(v)}" for k, v in rules.items()] + [f"grade of the rules: {grade}"]
+
+
+def registry_lines(summary: list[dict[str, Any]]) -> list[str]:
+    """Each capability with its experiments and what may influence a recommendation, which is nothing until something passed on new data."""
+    return [f"{r['capability']}: {r['experiments']} experiments; may influence: {r['may_influence'] or 'none'}" for r in summary]
+
+
+def headline(judgment: dict[str, Any]) -> str:
+    withheld = judgment.get("leaning") in (None, "DATA_INSUFFICIENT")
+    return "No leaning: the rules are untested or the data doesn't suffice." if withheld else f"Leaning: {judgment['leaning']}"
+
+
+def bar_rows(rows: list[dict[str, Any]], value: str, width: int = 20) -> list[str]:
+    """A bar for each row that has a number; a missing one is left out, never drawn as zero."""
+    kept = sorted((r for r in rows if r.get(value) is not None), key=lambda r: -r[value])
+    return [f"{r['name']} {'#' * round(max(0.0, min(1.0, r[value])) * width)} {percent(r[value], 0)}" for r in kept]
+
+
 def markdown(report: dict[str, Any], language: str = "en") -> str:
     return "\n".join(x for name in SECTIONS for x in [f"## {TITLES[language][name]}", *_lines(report[name]), ""])
 

@@ -271,3 +271,67 @@ def test_report_files_and_diagnostics(spark, tmp_path):
     assert "WATCH" in (tmp_path / "run" / "report.en.md").read_text(encoding="utf-8")
     assert artefacts.run_folder("r", "2026-09-04", "210000Z") == "r/2026-09-04-210000Z" and artefacts.run_folder("r", "x", "y", True) == "r/offline"
     assert all(r["status"] == "ok" for r in diagnostics.environment())
+
+
+def test_report_blocks_show_what_is_missing_as_missing():
+    from causeway.plans import report
+
+    rows = [{"name": "a", "value": 1.0, "risk_rank": 0.5, "direction": "easing"}, {"name": "b", "value": None, "risk_rank": None}, {"name": "c", "value": 2.0, "risk_rank": 0.9, "direction": "stable"}]
+    assert [r["indicator"] for r in report.indicator_table(rows)] == ["c", "a", "b"] and report.indicator_table(rows)[2]["value"] == "—"
+    assert report.bar_rows(rows, "risk_rank") == ["c " + "#" * 18 + " 90 %", "a " + "#" * 10 + " 50 %"]
+    table = report.scenario_table([{"symbol": "s", "label": "x", "cost": 1.0}, {"symbol": "s", "label": "x", "cost": 2.0}])
+    assert len(table) == 1 and table[0]["cost"] == "1.00" and table[0]["worst"] == "—"
+    assert report.condition_lines([{"name": "a", "above": 0.6, "below": 0.4}, {"name": "b", "above": None, "below": None}]) == ["a: above 60 % or below 40 %"]
+    assert report.headline({"leaning": "DATA_INSUFFICIENT"}).startswith("No leaning") and report.headline({"leaning": "WATCH"}) == "Leaning: WATCH"
+    assert report.registry_lines([{"capability": "c", "experiments": 2, "may_influence": ""}]) == ["c: 2 experiments; may influence: none"]
+    assert report.method_lines({"x": 1.5}, "UNTESTED")[-1].endswith("UNTESTED")
+
+
+def test_secrets_by_name_and_environment_first(tmp_path):
+    from causeway import config
+
+    lines = ["# FRED_API_KEY=no", "FRED_API_KEY='file'", "PATH=evil", "noise"]
+    assert config.secrets(lines, {}) == {"FRED_API_KEY": "file"}
+    assert config.secrets(lines, {"FRED_API_KEY": "env", "PATH": "x"}) == {"FRED_API_KEY": "env"}
+    (tmp_path / "c.json").write_text('{"a": 1}')
+    assert config.load(str(tmp_path / "c.json"), str(tmp_path / "none"))["a"] == 1
+
+
+def test_views_answer_sql(spark):
+    from causeway import catalog
+
+    assert catalog.register_views(spark, "/root/testdata/sf0.001", ["tumbling_window", "signal_rate"]) == ["signal_rate", "tumbling_window"]
+    assert spark.sql("select count(*) as n from tumbling_window join signal_rate on true where n > 0").first()["n"] > 0
+    assert spark.sql("select count(*) as n from orders").first()["n"] == 1500
+
+
+def test_a_statistic_of_ones_own_can_be_bootstrapped(spark):
+    import numpy as np
+
+    from causeway.operators import ledger
+
+    rows = [("s", DAY + dt.timedelta(i), float(i % 7), 1.0) for i in range(200)]
+    wide = spark.createDataFrame(rows, "symbol string, session date, a double, b double")
+    out = ledger.bootstrap_depths(wide, ["a", "b"], 120, 20, statistic=lambda x: x.mean(axis=1)).collect()
+    assert len(out) == 240 and all(r["depth"] == 1 for r in out if r["name"] == "b")
+    source = ledger.block_source(200, 20, 7)
+    assert [r["depth"] for r in out if r["name"] == "a" and r["draw"] == 7] == [pytest.approx(np.mean(source % 7))]
+    short = ledger.paired_bootstrap(wide.where(F.col("session") < DAY + dt.timedelta(10)), [("a", "b")], 50, 20).first()
+    assert short["draws"] == 0 and short["low"] is None and not short["significant"]
+
+
+def test_rules_are_promoted_one_rung_with_evidence():
+    from causeway.settings import LabelRules
+
+    r = evidence.promoted(LabelRules(), "REPLAYED", {"window": "after 2013"})
+    assert r.grade == "REPLAYED"
+    for grade, why in (("TESTED", {"a": 1}), ("SHADOWED", {}), ("SHADOWED", {"a": None}), ("nothing", {"a": 1})):
+        with pytest.raises(ValueError):
+            evidence.promoted(r, grade, why)
+
+
+def test_evidence_says_what_is_missing(spark):
+    none = spark.createDataFrame([], "name string, session date, value double")
+    found = evidence.evidence(none)
+    assert evidence.described(found)["missing"] == ["credit", "implied", "participation", "trend", "volatility"]
+    assert {r["missing_reason"] for r in evidence.with_missing(found).collect()} == {"no data"}
