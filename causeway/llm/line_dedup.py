@@ -2,11 +2,13 @@
 
 1. Every line of at least MIN_CHARS code points becomes (128-bit hash of its key, document, position); the text
    itself isn't shuffled here. The narrow table is written to the shared folder, so the text is parsed once.
-2. Keys with a share of at least 1 / HOT_KEYS of all lines are at most HOT_KEYS many whatever the corpus. Their
-   first document comes from a map-side pre-aggregated minimum, is broadcast, and their lines never meet in a task.
+2. Keys with at least half a partition's share of all lines are at most twice as many as partitions (HOT_KEYS at
+   least). Their first document comes from a map-side pre-aggregated minimum, is broadcast, and their lines never
+   meet in a task, so no range below holds more than its share and that of one cold key.
 3. The other keys are range-partitioned by hash with documents and positions in order inside a key; a running
    first value streams along and marks every line of a later document.
-4. Marks become one sparse bitmap per document: 64-bit words, only those with a dropped line.
+4. Marks become one compressed keep bitmap per document: 64-bit words whose ones are lines that stay; a word
+   that would be all ones is left out, so a document that keeps all its lines has no bitmap.
 5. `apply_bitmaps` joins them to the texts.
 
 DataFrame functions only. Defined results: null text is one empty line; a null doc_id is one id below all others;
@@ -45,20 +47,21 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
-    """(_cw_id, _cw_row, _cw_words): sparse bitmaps of the lines to drop; rows that keep all lines have none."""
+    """(_cw_id, _cw_row, _cw_words): keep bitmaps without their full words; rows that keep all lines have none."""
     spark = docs.sparkSession
+    hot_keys = max(HOT_KEYS, 2 * partitions_for(spark))
     seen = stored(line_occurrences(docs), "lines")
     total = seen.count()
-    by_key = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_cw_id").alias("first_id"), F.max("_cw_id").alias("last_id"))
-    # n * HOT_KEYS >= total holds for at most HOT_KEYS keys.
-    hot = stored(by_key.where((F.col("n") * HOT_KEYS >= total) & (F.col("n") > 1)).select("h1", "h2", "first_id"), "hot-lines")
+    by_key = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("_cw_id").alias("first_id"))
+    # n * hot_keys >= total holds for at most hot_keys keys.
+    hot = stored(by_key.where((F.col("n") * hot_keys >= total) & (F.col("n") > 1)).select("h1", "h2", "first_id"), "hot-lines")
     hot = F.broadcast(hot)
     of_hot = seen.join(hot, ["h1", "h2"]).where("_cw_id > first_id").select("_cw_id", "_cw_row", "pos")
     cold = seen.join(hot, ["h1", "h2"], "left_anti").repartitionByRange(partitions_for(spark), "h1", "h2")
     in_order = W.partitionBy("h1", "h2").orderBy("_cw_id", "pos").rowsBetween(W.unboundedPreceding, 0)
     of_cold = cold.withColumn("first_id", F.first("_cw_id").over(in_order)).where("_cw_id > first_id").select("_cw_id", "_cw_row", "pos")
     word = F.expr("pos div 64").cast("int").alias("word")
-    bits = F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")
+    bits = F.bitwise_not(F.expr("bit_or(shiftleft(1L, pos % 64))")).alias("bits")
     words = of_hot.unionByName(of_cold).groupBy("_cw_id", "_cw_row", word).agg(bits)
     return words.groupBy("_cw_id", "_cw_row").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("_cw_words"))
 
@@ -66,7 +69,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with `_cw_lines`, `_cw_dropped` (counts) and `_cw_kept` (the text that stays)."""
     joined = docs.join(bitmaps.hint("shuffle_hash"), ["_cw_id", "_cw_row"], "left")
-    gone = F.expr("flatten(transform(_cw_words, w -> transform(filter(sequence(0, 63), b -> (shiftrightunsigned(w.bits, b) & 1L) = 1L), b -> w.word * 64 + b)))")
+    gone = F.expr("flatten(transform(_cw_words, w -> transform(filter(sequence(0, 63), b -> (shiftrightunsigned(w.bits, b) & 1L) = 0L), b -> w.word * 64 + b)))")
     lines = F.split("_cw_text", "\n", -1)
     out = joined.withColumn("_cw_all", lines).withColumn("_cw_gone", gone)
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_cw_all) - 1), _cw_gone), i -> _cw_all[i]), '\n')")
