@@ -54,7 +54,7 @@ def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     closed = spark.createDataFrame([(d,) for y in years for d in sorted(holidays(y))], "session date")
     short = spark.createDataFrame([(d, True) for y in years for d in sorted(early_closes(y))], "session date, early boolean")
     days = spark.sql(f"select explode(sequence(date '{start}', date '{end}')) as session").where("weekday(session) < 5")
-    out = days.join(F.broadcast(closed), "session", "left_anti").join(F.broadcast(short), "session", "left")
+    out = days.join(closed, "session", "left_anti").join(short, "session", "left")
     at = lambda clock: F.to_utc_timestamp(F.concat(F.col("session").cast("string"), F.lit(f" {clock}")).cast("timestamp"), "America/New_York")
     return out.select("session", at("09:30:00").alias("open_utc"), F.when(F.col("early"), at("13:00:00")).otherwise(at("16:00:00")).alias("close_utc"))
 

@@ -56,13 +56,22 @@ def with_revisions(snapshots: DataFrame) -> DataFrame:
 
 
 def write_once(df: DataFrame, path: str) -> bool:
-    """Write where nothing is; the same content again is no change, other content an error."""
+    """Write where nothing is; the same content again is no change, other content an error.
+
+    The table is written beside its place and renamed into it, so of two writers at once one finds the other's.
+    """
+    import uuid
+
     spark: SparkSession = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        old = spark.read.parquet(path)
-        if old.exceptAll(df).limit(1).count() or df.exceptAll(old).limit(1).count():
-            raise ValueError(f"{path} holds other content")
-        return False
-    df.write.mode("errorifexists").parquet(path)
-    return True
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        df.write.mode("errorifexists").parquet(part.toString())
+        if not fs.exists(place) and fs.rename(part, place):
+            return True
+        fs.delete(part, True)
+    old = spark.read.parquet(path)
+    if old.exceptAll(df).limit(1).count() or df.exceptAll(old).limit(1).count():
+        raise ValueError(f"{path} holds other content")
+    return False

@@ -24,13 +24,10 @@ def select_chain(chains: DataFrame) -> DataFrame:
     return best.select("symbol", "x.*")
 
 
-def buckets(spark) -> DataFrame:
-    return spark.createDataFrame(list(EXPIRY_BUCKETS), "bucket string, fewest int, most int")
-
-
 def select_expiries(expiries: DataFrame) -> DataFrame:
     """symbol, expiry, days -> for each bucket (both ends inside) the nearest expiry; an empty bucket keeps its row."""
-    b = expiries.select("symbol").distinct().crossJoin(F.broadcast(buckets(expiries.sparkSession)))
+    each = F.array(*(F.struct(F.lit(n).alias("bucket"), F.lit(a).alias("fewest"), F.lit(b).alias("most")) for n, a, b in EXPIRY_BUCKETS))
+    b = expiries.select("symbol").distinct().select("symbol", F.explode(each).alias("b")).select("symbol", "b.*")
     joined = b.join(expiries, "symbol", "left").withColumn("fits", F.col("days").between(F.col("fewest"), F.col("most")))
     g = joined.groupBy("symbol", "bucket").agg(F.min(F.when(F.col("fits"), F.struct("days", "expiry"))).alias("x"))
     return g.select("symbol", "bucket", "x.expiry", "x.days", F.when(F.col("x").isNull(), "no_listed_expiry").otherwise("proposed").alias("status"))

@@ -195,10 +195,10 @@ def manifest_health(manifest: DataFrame, rules: DataFrame, as_of: str) -> DataFr
     """dataset, provider, status, rows, earliest, latest with rules -> age, history, density and a verdict.
 
     The ladder is failed, stale, truncated, ok. A null age fails; null history or density passes; fixtures are exempt from
-    depth and density. Rules are one row per dataset: a table of configuration, far below any broadcast bound.
+    depth and density. Rules are one row per dataset.
     """
     day = F.lit(as_of).cast("date")
-    m = manifest.join(F.broadcast(rules), "dataset", "left")
+    m = manifest.join(rules, "dataset", "left")
     age = weekdays_between(F.col("latest"), day) - 1
     history = F.datediff(day, F.col("earliest")) / 365.25
     density = F.least(F.lit(1.0), F.try_divide(F.col("rows"), weekdays_between(F.col("earliest"), F.col("latest"))))
@@ -274,11 +274,15 @@ def tolerance_before(common: DataFrame, window: int = TOLERANCE_WINDOW) -> DataF
     """symbol, session, a, b -> also `band`: the tolerance measured on the `window` common sessions strictly before each one."""
     w = ts.series("symbol").rowsBetween(-window, -1)
     x = F.abs(F.try_divide(F.col("a"), F.col("b")) - 1)
+
+    def band(before: Column) -> Column:
+        # An array of one binds the sorted values and their median, so that neither is worked out anew for each value.
+        of = lambda v, m: F.greatest(m + TOLERANCE_MULTIPLE * _middle(F.array_sort(F.transform(v, lambda y: F.abs(y - m)))), F.lit(TOLERANCE_FLOOR))
+        bound = F.transform(F.array(F.array_sort(before)), lambda v: F.transform(F.array(_middle(v)), lambda m: of(v, m)))
+        return F.when(F.size(before) < 2, F.lit(TOLERANCE_FLOOR)).otherwise(bound[0][0])
+
     rows = common.withColumn("before", F.collect_list(x).over(w))
-    rows = rows.withColumn("med", _middle(F.array_sort("before")))
-    mad = _middle(F.array_sort(F.transform("before", lambda v: F.abs(v - F.col("med")))))
-    band = F.when(F.size("before") < 2, F.lit(TOLERANCE_FLOOR)).otherwise(F.greatest(F.col("med") + TOLERANCE_MULTIPLE * mad, F.lit(TOLERANCE_FLOOR)))
-    return rows.withColumn("band", band).drop("before", "med")
+    return rows.withColumn("band", band(F.col("before"))).drop("before")
 
 
 def confirm_moves(primary: DataFrame, secondary: DataFrame, jump: float = 0.02, window: int = TOLERANCE_WINDOW) -> DataFrame:

@@ -22,7 +22,7 @@ def _path(daily: DataFrame) -> DataFrame:
     w = W.partitionBy("symbol").orderBy("session")
     mean = daily.groupBy("symbol").agg(F.avg("a").alias("m"))
     p = 100 * F.exp(F.sum(0.05 * (F.col("a") / F.col("m") - 1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return daily.join(F.broadcast(mean), "symbol").select("symbol", "session", (F.row_number().over(w) - 1).alias("i"), p.alias("p"))
+    return daily.join(mean, "symbol").select("symbol", "session", (F.row_number().over(w) - 1).alias("i"), p.alias("p"))
 
 
 def symbol() -> Column:

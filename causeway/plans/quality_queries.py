@@ -293,3 +293,13 @@ def reported_move(spark, sf_dir):
     percent = (F.col("l_linenumber") - 4).cast("int")
     text = F.concat(F.lit("close moved "), F.when(percent >= 0, F.lit("+")).otherwise(F.lit("")), percent.cast("string"), F.lit(".0% against the bar before"))
     return li.select("l_orderkey", "l_linenumber", quality.reported_move(text).alias("move"))
+
+
+@query("tolerance_before", f"""with {SECOND}, cm as (select a.symbol, a.session, abs(a.p / b.p - 1) as x from px a join px2 b using (symbol, session)),
+ls as (select symbol, session, list(x) over (partition by symbol order by session rows between 250 preceding and 1 preceding) as l from cm),
+md as (select symbol, session, l, list_median(l) as med from ls)
+select symbol, session, round(case when coalesce(len(l), 0) < 2 then 5e-5 else greatest(med + 6 * list_median(list_transform(l, lambda v: abs(v - med))), 5e-5) end, 8) as band from md""")
+def tolerance_before(spark, sf_dir):
+    """The band of each common session from those strictly before it."""
+    both = quality.aligned(px(spark, sf_dir), second_source(spark, sf_dir)).where("a is not null and b is not null")
+    return quality.tolerance_before(both).select("symbol", "session", F.round("band", 8).alias("band"))
