@@ -48,7 +48,7 @@ def test_bars(spark):
     assert codes(quality.validate_bars(bars(spark, [770.0, 508, 520]))) == ["large_price_move"]
     assert codes(quality.validate_bars(bars(spark, [770.0, 385]))) == ["large_price_move"]
     assert codes(quality.validate_bars(bars(spark, [770.0, 7700]))) == ["price_scale_break"]
-    assert codes(quality.validate_bars(bars(spark, [770.0]).withColumn("high", F.lit(700.0)).withColumn("low", F.lit(800.0)))) == ["ohlc_inverted"]
+    assert codes(quality.validate_bars(bars(spark, [770.0]).withColumn("high", F.lit(700.0)).withColumn("low", F.lit(800.0)))) == ["ohlc_bounds_violated", "ohlc_bounds_violated", "ohlc_inverted"]
     assert codes(quality.validate_bars(bars(spark, [770.0]).withColumn("close", F.lit(900.0)))) == ["ohlc_bounds_violated"]
 
 
