@@ -3,7 +3,8 @@
 Items are short, documents long, so a sketch of the document says little about an item. The sketch is the item's:
 its k smallest shingle hashes (a bottom-k MinHash). An item of n shingles that a document contains to a share of t or
 more misses at most (1 - t) * n of them, so one of its (1 - t) * n + 1 smallest is in the document. Items
-are partitioned by size, to powers of two, and a partition's largest size sets its k; no match is lost.
+are partitioned by size, to powers of two, and a partition's largest size `top` sets its k = (1 - t) * top + 1: recall is 1 in
+every partition, with sketches of one hash up to size 4, 2 up to 8, 4 up to 16, 7 up to 32, 13 up to 64 and so on.
 
 1. Candidates: shingle hashes of each document meet the sketches. Only hits leave the scan.
 2. Verification: for documents with a candidate the shared shingles of each candidate pair are counted.
@@ -13,7 +14,7 @@ otherwise; so are the candidates' ids. DataFrame functions only.
 
 Defined results: words are runs outside [\\x20\\x09-\\x0D], A-Z in lower case; a shingle is five words; an item of
 fewer words is one shingle of that many, an item of none is never found; null text is empty; equal items are each
-found; rows of equal doc_id and text are reported once; null ids stay null; other columns are ignored.
+found; rows of equal doc_id and text are reported once; a text is cut into words and shingles whole, in the task that holds its row; null ids stay null; other columns are ignored.
 Shingles are taken as equal if their 64-bit hashes are.
 """
 

@@ -12,7 +12,7 @@
 5. `apply_bitmaps` joins them to the texts.
 
 DataFrame functions only. Defined results: null text is one empty line; a null doc_id is one id below all others;
-rows of one doc_id are one document, each row keeping its own bitmap; an empty table gives no rows; other columns
+rows of one doc_id are one document, each row keeping its own bitmap; a text's lines are split whole in the task that holds its row; an empty table gives no rows; other columns
 pass through `drop_repeated_lines` untouched. Two keys are taken as equal if 128 bits of XXH64 agree.
 """
 
