@@ -53,11 +53,11 @@ def index_closes(spark, sf_dir):
     return first.unionByName(loading.index_closes(d.select("session", F.col("value").alias("a"), F.col("n").cast("string").alias("b")), "vxo"))
 
 
-@query("index_alignment", f"with {DAILY}, a as (select session, value from dy where n % 3 > 0), b as (select session, n from dy where n % 2 = 0) select coalesce(a.session, b.session) as session, value as vix_close, n::double as vxn_close from a full join b on a.session = b.session")
+@query("index_alignment", f"with {DAILY}, a as (select session, case when n % 3 > 0 then value end as value from dy), b as (select session, case when n % 2 = 0 then n end as n from dy) select coalesce(a.session, b.session) as session, value as vix_close, n::double as vxn_close from a full join b on a.session = b.session")
 def index_alignment(spark, sf_dir):
     d = daily(spark, sf_dir)
-    vix = d.where("n % 3 > 0").select("session", F.col("value").alias("vix_close"))
-    return vix.join(d.where("n % 2 = 0").select("session", F.col("n").cast("double").alias("vxn_close")), "session", "full_outer")
+    vix = d.select("session", F.when(F.col("n") % 3 > 0, F.col("value")).alias("vix_close"))
+    return vix.join(d.select("session", F.when(F.col("n") % 2 == 0, F.col("n").cast("double")).alias("vxn_close")), "session", "full_outer")
 
 
 def _whole(spark, rows, name: str) -> str:
@@ -344,7 +344,7 @@ def registry_store(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("name"), pick.alias("capability"))
     full = lambda df: empty.unionByName(df, allowMissingColumns=True)
     research.save(full(rows), at)
-    more = rows.select("name", F.lit("action_value").alias("capability")).limit(3).unionByName(spark.createDataFrame([("new", "action_value")], "name string, capability string"))
+    more = rows.select("name", F.lit("action_value").alias("capability")).unionByName(spark.createDataFrame([("new", "action_value")], "name string, capability string"))
     return research.merged(research.load(spark, at), full(more)).groupBy("capability").agg(F.count(F.lit(1)).alias("experiments"))
 
 

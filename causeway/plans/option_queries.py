@@ -298,6 +298,6 @@ def staleness(spark, sf_dir):
 @query("put_call_pairs", f"with {CHAIN}, l as (select expiry, strike, 'P' as side, put_mid as mid from chain union all select expiry, strike, 'C', call_mid from chain where cast(strike as int) % 3 > 0) select expiry, strike, round(max(mid) filter (where side = 'P'), 6) as put_mid, round(max(mid) filter (where side = 'C'), 6) as call_mid from l group by 1, 2 having count(distinct side) = 2")
 def put_call_pairs(spark, sf_dir):
     c = chain(spark, sf_dir)
-    long = c.select("expiry", "strike", F.lit("P").alias("side"), F.col("put_mid").alias("mid")).unionByName(c.where(F.col("strike").cast("int") % 3 > 0).select("expiry", "strike", F.lit("C").alias("side"), F.col("call_mid").alias("mid")))
+    long = c.select("expiry", "strike", F.lit("P").alias("side"), F.col("put_mid").alias("mid")).unionByName(c.select("expiry", "strike", F.lit("C").alias("side"), F.when(F.col("strike").cast("int") % 3 > 0, F.col("call_mid")).alias("mid")))
     wide = long.groupBy("expiry", "strike").pivot("side", ["P", "C"]).agg(F.avg("mid"))
     return wide.where("P is not null and C is not null").select("expiry", "strike", F.round("P", 6).alias("put_mid"), F.round("C", 6).alias("call_mid"))

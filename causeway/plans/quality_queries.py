@@ -185,7 +185,7 @@ def reconcile_closes(spark, sf_dir):
 
 @query("source_only_dates", f"with {SECOND} select symbol, session from px a where not exists (select 1 from px2 b where a.symbol = b.symbol and a.session = b.session)")
 def source_only_dates(spark, sf_dir):
-    return px(spark, sf_dir).join(second_source(spark, sf_dir), ["symbol", "session"], "left_anti").select("symbol", "session")
+    return px(spark, sf_dir).join(second_source(spark, sf_dir).where("p is not null"), ["symbol", "session"], "left_anti").select("symbol", "session")
 
 
 @query("reconciliation_summary", f"with {TOLERANCE} select symbol, count(*) filter (where code in ('agrees', 'sources_disagree')) as common, count(*) filter (where code = 'sources_disagree') as disagreements, max(difference) as worst, first(session order by coalesce(difference, -1) desc, session) as worst_session, bool_or(code = 'agrees') as overlap, coalesce(bool_and(code = 'agrees') filter (where code in ('agrees', 'sources_disagree')), false) as agreed from rc group by 1")
@@ -228,7 +228,7 @@ def five(spark, sf_dir):
     a = px5(spark, sf_dir)
     i = F.col("i")
     other = F.when((F.col("symbol") == "iwm") & (i % 401 == 7), 1.1).otherwise(1.0)
-    b = a.where("i % 89 <> 3").select("symbol", F.when(F.col("symbol") == "lqd", F.date_add("session", 10000)).otherwise(F.col("session")).alias("session"), (F.col("p") * (1 + 1e-6 * ((i % 5) - 2)) * other).alias("p"))
+    b = a.select("symbol", F.when(F.col("symbol") == "lqd", F.date_add("session", 10000)).otherwise(F.col("session")).alias("session"), F.when(i % 89 != 3, F.col("p") * (1 + 1e-6 * ((i % 5) - 2)) * other).alias("p"))
     rows = [(s, source, "adjusted" if s == "hyg" and source == "second" else "raw", "regular", "USD", "shares") for s in SYMBOLS.values() for source in ("first", "second")]
     return a, b, spark.createDataFrame(rows, "symbol string, source string, price string, session_kind string, currency string, volume_unit string")
 
