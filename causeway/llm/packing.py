@@ -19,8 +19,10 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
@@ -47,8 +49,15 @@ STRETCH_BYTES = 160
 LONGEST_REMEMBERED = 64
 #: Characters of texts that are looked up together.
 SLICE_CHARS = 1 << 20
-#: Marks after letters that are a pretoken of their own.
-CLOSING = ".,;:!?"
+#: Marks that are a pretoken of their own after letters, however many they are.
+MARKS = string.punctuation
+#: Lines of letters of Latin-1, which no normalization but that of case changes, and marks; other lines give empty groups.
+PLAIN = re.compile(r"^([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]++)([!-/:-@\[-`{-~]*+)$|^.+$", re.MULTILINE)
+#: The vocabulary's characters for bytes, and a blank for the blank between pretokens.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = "".join(chr(b if b in SHOWN or b == 0x20 else 0x100 + b - bisect_left(SHOWN, b)) for b in range(0x100))
+#: Characters whose lower case may depend on others or on how they are composed.
+FOREIGN = re.compile("[^\0-\xff]")
 #: Shares of the fitted repeats that are tried, the last being best fit decreasing alone.
 KEPT_SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Pieces of one length are numbered in at least this many groups.
@@ -72,18 +81,23 @@ class WordIds:
     """Ids of texts, as little-endian 32-bit bytes, by look-up of the stretches between white space.
 
     The vocabulary drops white space before merging, so the ids of a text are those of its stretches in order.
-    Letters and the closing marks after them are pretokens of their own; new runs of letters are given to the
-    tokenizer many at once, and the ids that end a word tell them apart again. Texts are taken in slices; what a worker
-    remembers between slices is bounded by REMEMBERED bytes.
+    Letters and the marks after them are pretokens of their own; new ones are given to the tokenizer many at once, and
+    the ids that end a word tell them apart again. Those of Latin-1 are cut and put in lower case here, and go to the
+    library's model without its normalizer and patterns, which take more time than the merges. Texts are taken in
+    slices; what a worker remembers between slices is bounded by REMEMBERED bytes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: The same model, for pretokens that are normalized, written in its characters for bytes and stand between blanks.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         ids = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(ids.values()) + 1, dtype=bool)
         self.closes[[i for token, i in ids.items() if token.endswith("</w>")]] = True
@@ -100,50 +114,49 @@ class WordIds:
     def encode_each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def letters(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of runs of letters, one after another, and how many each has; by one call."""
-        if not runs:
+    def joined(self, tokenizer, text: str, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pretokens, one after another, and how many each has; by one call on their text, which has blanks between."""
+        if not pretokens:
             return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(runs):
-            each = self.encode_each(runs)
+        if len(ends) != len(pretokens):
+            each = self.encode_each(pretokens)
             return np.concatenate(each), np.array([len(x) for x in each])
         return ids, np.diff(ends, prepend=0)
 
     def learned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of stretches, one after another, and how many each has."""
-        runs: list[str] = []
-        at: list[int] = []
-        marks: dict[str, list[int]] = {}
+        cut = PLAIN.findall("\n".join(stretches))
+        pretokens = [p for pair in cut for p in pair if p]
+        ids, sizes = self.joined(self.plain, codecs.charmap_decode(" ".join(pretokens).lower().encode(), "strict", BYTES)[0], pretokens)
+        total = _sums(sizes, np.array([(letters != "") + (marks != "") for letters, marks in cut], dtype=np.int64))
+        rest = [i for i, (letters, _) in enumerate(cut) if not letters]
+        if not rest:
+            return ids, total
+        foreign: list[int] = []
         others: list[int] = []
-        for i, s in enumerate(stretches):
-            core = s.rstrip(CLOSING)
+        pretokens, parts = [], []
+        for i in rest:
+            letters = stretches[i].rstrip(MARKS)
             # A capital dotted I becomes two characters in lower case, of which the second joins what follows.
-            if core.isalpha() and "\u0130" not in core:
-                runs.append(core)
-                at.append(i)
-                if len(core) < len(s):
-                    marks.setdefault(s[len(core) :], []).append(i)
+            if letters.isalpha() and "\u0130" not in letters:
+                foreign.append(i)
+                pair = [p for p in (letters, stretches[i][len(letters) :]) if p]
+                pretokens += pair
+                parts.append(len(pair))
             else:
                 others.append(i)
-        ids, sizes = self.letters(runs)
-        before = np.zeros(len(stretches), dtype=np.int64)
-        before[at] = sizes
-        tails = dict(zip(marks, self.encode_each(list(marks)), strict=True))
-        after = np.zeros(len(stretches), dtype=np.int64)
-        for m, where in marks.items():
-            after[where] = len(tails[m])
+        by_letters, sizes = self.joined(self.tokenizer, " ".join(pretokens), pretokens)
         whole = self.encode_each([stretches[i] for i in others])
-        before[others] = [len(x) for x in whole]
-        total = before + after
+        plain = total.copy()
+        total[foreign] = _sums(sizes, np.array(parts, dtype=np.int64))
+        total[others] = [len(x) for x in whole]
         begin = np.cumsum(total) - total
         out = np.empty(int(total.sum()), dtype="<u4")
-        out[_spread(begin[at], sizes)] = ids
-        if others:
-            out[_spread(begin[others], before[others])] = np.concatenate(whole)
-        for m, where in marks.items():
-            out[(begin + before)[where][:, None] + np.arange(len(tails[m]))] = tails[m]
+        out[_spread(begin, plain)] = ids
+        for at, found in ((foreign, by_letters), (others, np.concatenate([np.empty(0, dtype="<u4"), *whole]))):
+            out[_spread(begin[at], total[at])] = found
         return out, total
 
     def slice_of(self, split: list[list[str]]) -> list[np.ndarray]:
@@ -178,13 +191,15 @@ class WordIds:
         out: list[np.ndarray] = []
         split: list[list[str]] = []
         chars = 0
+        foreign = FOREIGN.search
         for t in texts:
             if t and self.odd.search(t):
                 out += self.slice_of(split)
                 out.append(self.encode(t))
                 split, chars = [], 0
                 continue
-            split.append(t.split() if t else [])
+            # Case is lost in any case; in lower case fewer stretches differ. Special tokens are found as written.
+            split.append((t if "<|" in t or not t.isascii() and foreign(t) else t.lower()).split() if t else [])
             chars += len(t or "")
             if chars >= SLICE_CHARS:
                 out += self.slice_of(split)
@@ -197,6 +212,13 @@ def _spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
 
 
+def _sums(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] sizes, the next counts[1], ..."""
+    upto = np.append(0, np.cumsum(sizes))
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
 @lru_cache(maxsize=4)
 def words_of_vocabulary(path: str) -> WordIds:
     return WordIds(path)

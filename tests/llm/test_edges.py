@@ -156,6 +156,40 @@ def test_word_ids_match_the_library():
     assert [x.tolist() for x in packing.WordIds(packing.vocabulary_path()).of(texts)] == want
 
 
+def test_word_ids_of_every_letter_and_mark_match_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    chars = [chr(c) for c in range(0x600)] + list("\u1e9e\u2126\u212a\u212b\ufb01\uff21")
+    texts = [f"{a}{c}{b}" for c in chars for a, b in (("", ""), ("Ab", ""), ("", "Cd."), ("É", "ÇA'S"), ("Ab", "%!?"))]
+    texts += ["<|EndOfText|> A<|endoftext|>B", "AB<|ENDOFTEXT|>", "<|", "WORD<|", "WORD|>", "ΣΑΣ Σ, ΑΣ. слово, СЛОВО!? 漢字。", "I\u0307 E\u0301A\u0300 Ab\u0338", "<\u0338 A<\u0338"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    words = packing.WordIds(packing.vocabulary_path())
+    assert [x.tolist() for x in words.of(texts)] == want
+    assert [words.of([x])[0].tolist() for x in texts] == want
+
+
+def test_word_ids_take_each_word_to_the_model_once_whatever_its_case():
+    """Patterns and normalizer of the library took more CPU seconds than its merges: only what they can change goes there."""
+    words = packing.WordIds(packing.vocabulary_path())
+    given = {"whole": [], "model": []}
+
+    class Watched:
+        def __init__(self, name, tokenizer):
+            self.name, self.tokenizer = name, tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            given[self.name] += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    plain, whole = words.plain, words.tokenizer
+    words.plain, words.tokenizer = Watched("model", plain), Watched("whole", whole)
+    ids = words.of(["House HOUSE house house,", "hOUSE, Schön SCHÖN... schön... %%%", "слово"])
+    assert [x.tolist() for x in ids] == [whole.encode(x, add_special_tokens=False).ids for x in ("house house house house,", "house, schön schön... schön... %%%", "слово")]
+    assert [len(x.split()) for x in given["model"]] == [6]
+    assert sorted(given["whole"]) == ["%%%", "слово"]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
