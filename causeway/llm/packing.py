@@ -198,7 +198,7 @@ class WordIds:
                 out.append(self.encode(t))
                 split, chars = [], 0
                 continue
-            # Case is lost in any case; in lower case fewer stretches differ. Special tokens are found as written.
+            # The vocabulary drops case, and in lower case fewer stretches differ; special tokens are found as written only.
             split.append((t if "<|" in t or not t.isascii() and foreign(t) else t.lower()).split() if t else [])
             chars += len(t or "")
             if chars >= SLICE_CHARS:
