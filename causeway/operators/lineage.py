@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 CONTRACT = "2"
 #: Columns that tell how a table was fetched rather than what it says.
 VOLATILE = ("tick_lag_seconds", "quote_age_seconds", "received_at_utc", "logged_at_utc", "retrieved_at_utc", "exchange_time_utc", "implied_volatility", "delta", "underlying_price", "open_interest_attempt")
-#: A row's hash is added up in so many parts of so many hexadecimal digits.
-PARTS, DIGITS = 4, 15
+#: A row's hash is added up in so many parts of so many hexadecimal digits, each as a high and a low half of so many bits.
+PARTS, DIGITS, HALF = 4, 15, 30
 
 
 def content_hash(rows: DataFrame, ignore: tuple[str, ...] = (), by: str = "name") -> DataFrame:
@@ -18,17 +23,39 @@ def content_hash(rows: DataFrame, ignore: tuple[str, ...] = (), by: str = "name"
 
     Where order matters the ordinal is a column like any other, so it is part of each row. Rows' hashes are added up in parts
     that are wide enough not to overflow at 10^17 rows: combined before the shuffle, with no order and no array of hashes.
+    Each Arrow batch is added up in whole columns first, so decimals are made for batches rather than rows. Names are atomic values.
     """
     cols = sorted(c for c in rows.columns if c not in (*ignore, by))
     kinds = dict(rows.dtypes)
     text = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
-    hashed = rows.select(by, F.sha2(text, 256).alias("h"))
-    part = lambda k: F.conv(F.substring("h", 1 + k * DIGITS, DIGITS), 16, 10).cast("decimal(38,0)")
-    sums = hashed.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(part(k)).alias(f"s{k}") for k in range(PARTS)))
-    whole = F.concat_ws("|", F.lit(",".join(f"{c}:{kinds[c]}" for c in cols)), F.col("rows").cast("string"), *(F.col(f"s{k}").cast("string") for k in range(PARTS)))
+    hashed = rows.select(by, F.unhex(F.sha2(text, 256)).alias("h"))
+    halves = [f"{x}{k}" for k in range(PARTS) for x in ("high", "low")]
+    added = hashed.mapInArrow(_added, StructType([hashed.schema[by], *(StructField(c, LongType()) for c in ("n", *halves))]))
+    sums = added.groupBy(by).agg(F.sum("n").alias("rows"), *(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in halves))
+    part = lambda k: F.col(f"high{k}") * F.lit(1 << HALF).cast("decimal(10,0)") + F.col(f"low{k}")
+    whole = F.concat_ws("|", F.lit(",".join(f"{c}:{kinds[c]}" for c in cols)), F.col("rows").cast("string"), *(part(k).cast("string") for k in range(PARTS)))
     return sums.select(by, F.sha2(whole, 256).alias("sha256"), "rows")
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Name and hash of 32 bytes -> for each name of a batch its rows and the sums of both halves of each part, which a bigint holds."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(1).cast(pa.binary(32))
+        words = np.frombuffer(h.buffers()[1], ">u8", 4 * len(h), 32 * h.offset).astype("u8").reshape(-1, 4)
+        parts = []
+        for k in range(PARTS):
+            i, shift = divmod(4 * DIGITS * k, 64)
+            x = words[:, i] << shift | words[:, i + 1] >> 64 - shift if shift else words[:, i]
+            x = x >> 64 - 4 * DIGITS
+            parts += [(x >> HALF).astype("i8"), (x & (1 << HALF) - 1).astype("i8")]
+        columns = [str(j) for j in range(len(parts))]
+        sums = pa.table([b.column(0), *parts], names=["name", *columns]).group_by("name", use_threads=False).aggregate([([], "count_all"), *((c, "sum") for c in columns)])
+        out = sums.select(["name", "count_all", *(f"{c}_sum" for c in columns)]).rename_columns([b.schema.names[0], "n", *(f"{x}{k}" for k in range(PARTS) for x in ("high", "low"))])
+        yield from out.to_batches()
+
+
 def snapshot_id(tables: DataFrame, session: str, config: str) -> DataFrame:
     """Session and twelve digits of a hash over contract, configuration and the sorted tables' hashes."""
     one = tables.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat_ws(":", x["name"], x["sha256"])), ",").alias("t"))

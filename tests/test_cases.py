@@ -204,6 +204,43 @@ def test_a_verdict_is_amended_and_the_old_one_kept(spark, tmp_path):
     assert snapshots.records(spark, f"file://{tmp_path}/elsewhere").count() == 0
 
 
+def test_content_hash_adds_up_batches_not_rows(spark):
+    import hashlib
+    import json
+
+    from causeway.operators.lineage import content_hash
+
+    rows = [(None if i % 5 == 0 else f"t{i % 3}", i, None if i % 4 == 0 else i / 8) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, i long, x double").coalesce(1)
+    each, expected = {}, {}
+    for name, i, x in rows:
+        each.setdefault(name, []).append(hashlib.sha256(json.dumps({"i": i, "x": x}, separators=(",", ":")).encode()).hexdigest())
+    for name, hs in each.items():
+        sums = [str(sum(int(h[k : k + 15], 16) for h in hs)) for k in (0, 15, 30, 45)]
+        expected[name] = (hashlib.sha256("|".join(["i:bigint,x:double", str(len(hs)), *sums]).encode()).hexdigest(), len(hs))
+    assert {r["name"]: (r["sha256"], r["rows"]) for r in content_hash(df).collect()} == expected
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {r["name"]: (r["sha256"], r["rows"]) for r in content_hash(df).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = content_hash(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "conv(" not in plan  # a number of each part of each row took most of the time
+
+
+def test_all_tables_of_a_snapshot_are_hashed_in_one_job(spark):
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    tables = {"b": quote_rows(spark), "a": quote_rows(spark, 9.0), "none": quote_rows(spark).where("strike < 0")}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = ran()
+    hashes = snapshots.table_hashes(tables)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert ran() == before + 1
+    assert [(h["name"], h["rows"]) for h in hashes] == [("a", 2), ("b", 2), ("none", 0)] and len({h["sha256"] for h in hashes}) == 3
+    assert [snapshots.table_hashes({n: tables[n]})[0] for n in sorted(tables)] == hashes
+    assert snapshots.table_hashes({}) == []
+
+
 def test_content_hash_knows_nulls_types_and_order_of_an_ordinal(spark):
     from causeway.operators.lineage import content_hash
 
